@@ -33,6 +33,7 @@ def _patterns() -> dict[str, str]:
         "unsafe": chars.unsafe_class(),
         "foreign": foreign,
         "mixed": "|".join(f"[{c[a]}]{inside}*+[{c[b]}]" for a, b in pairs),
+        **{f"not_{a}": f"[{c['latin']}&&[^{''.join(x for x in chars.lookalikes()[a].values())}]]" for a in ("greek", "cyrillic")},
         "word": f"(?:\\p{{L}}|{inside})++|[^\\p{{L}}]",
         **{k: f"[^{v}]" for k, v in c.items()},
     }
@@ -72,7 +73,8 @@ def _compose(marks: Column) -> Column:
 
 
 def clean_texts(texts: DataFrame) -> DataFrame:
-    """(text) -> (text, clean), one row for each different text that the quick check doesn't pass.
+    """(text) -> (text, clean, n_mixed), one row for each different text that the quick check doesn't pass;
+    n_mixed counts its words of several alphabets.
 
     The different texts are spread by a key of their own (their hashes and length); from there on every step
     keeps that partitioning, so code points are never shuffled."""
@@ -82,10 +84,11 @@ def clean_texts(texts: DataFrame) -> DataFrame:
     distinct = texts.filter(needs_work(F.col("text"))).select("text").distinct().withColumn(_KEY, key).repartition(_KEY)
     words = distinct.select(_KEY, F.posexplode(F.regexp_extract_all("text", F.lit(p["word"]), F.lit(0))).alias("word_pos", "word"))
     n = {a: _count(F.col("word"), a) for a in ("latin", "greek", "cyrillic")}
+    # a word belongs to its commonest alphabet, but never to one that lacks some of its Latin letters
     main = (
         F.when((n["latin"] >= n["greek"]) & (n["latin"] >= n["cyrillic"]), "latin")
-        .when(n["greek"] >= n["cyrillic"], "greek")
-        .otherwise("cyrillic")
+        .when(n["greek"] >= n["cyrillic"], F.when(F.col("word").rlike(p["not_greek"]), "latin").otherwise("greek"))
+        .otherwise(F.when(F.col("word").rlike(p["not_cyrillic"]), "latin").otherwise("cyrillic"))
     )
     words = words.withColumn("main", F.when(F.col("word").rlike(p["foreign"]) & F.col("word").rlike(p["mixed"]), main))
     whole = F.col("main").isNull() & ~F.col("word").rlike(p["unsafe"])
@@ -101,6 +104,7 @@ def clean_texts(texts: DataFrame) -> DataFrame:
         _KEY, "word_pos", "pos", F.posexplode(F.when(form.isNull(), F.array("ch")).when(form != "", F.split(form, ""))).alias("sub", "unit")
     )
     units = units.join(marks, "unit", "left").withColumn("ccc", F.coalesce("ccc", F.lit(0)))
+    blended = words.groupBy(_KEY).agg(F.count("main").alias("n_mixed"))
     # one list for each text, in the order of the text; then clusters (a starter and its marks) inside the list
     ordered = units.groupBy(_KEY).agg(F.sort_array(F.collect_list(F.struct("word_pos", "pos", "sub", "unit", "ccc"))).alias("units"))
     plain = F.array_join(F.transform("units", lambda u: u["unit"]), "")
@@ -117,7 +121,11 @@ def clean_texts(texts: DataFrame) -> DataFrame:
         F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("cluster", "text"))), lambda x: x["text"]), "").alias("clean")
     )
     # a text of nothing but invisible characters leaves no unit at all
-    return distinct.join(bare.unionByName(rebuilt), _KEY, "left").select("text", F.coalesce("clean", F.lit("")).alias("clean"))
+    return (
+        distinct.join(bare.unionByName(rebuilt), _KEY, "left")
+        .join(blended, _KEY, "left")
+        .select("text", F.coalesce("clean", F.lit("")).alias("clean"), F.coalesce("n_mixed", F.lit(0)).alias("n_mixed"))
+    )
 
 
 def with_forms(df: DataFrame, column: str, out: str) -> DataFrame:
@@ -132,9 +140,9 @@ def with_forms(df: DataFrame, column: str, out: str) -> DataFrame:
 
 
 def found(df: DataFrame, fields: tuple[str, ...] = ("reference", "prediction"), key: str = "row_id") -> DataFrame:
-    """(key, field) of every text whose one form differs from it."""
+    """(key, field) of every text whose one form differs from it, or in which a word mixes alphabets even so."""
     stack = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("text")) for f in fields])).alias("x")
     long = df.select(key, stack).select(key, "x.field", "x.text").filter(needs_work(F.col("text")))
-    fixed = clean_texts(long.select("text")).filter(F.col("clean") != F.col("text")).select("text")
+    fixed = clean_texts(long.select("text")).filter((F.col("clean") != F.col("text")) | (F.col("n_mixed") > 0)).select("text")
     return long.join(fixed, "text", "left_semi").select(key, "field")
 
