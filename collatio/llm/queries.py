@@ -2,7 +2,17 @@
 
 from __future__ import annotations
 
-from collatio.llm import p02_forms, p03_truncation, p04_repetition
+from collatio.llm import (
+    p01_overlap,
+    p02_forms,
+    p03_truncation,
+    p04_repetition,
+    p05_consensus,
+    p06_sampling,
+    p07_encoding,
+    p08_mixing,
+    p09_residue,
+)
 from collatio.sources import table
 
 PREDICTIONS = "catmus_medieval_controlled_predictions"
@@ -12,6 +22,18 @@ def _predictions(spark, d):
     return table(spark, d, PREDICTIONS)
 
 
+def _documents(spark, d):
+    return table(spark, d, "documents")
+
+
+def p1_found(spark, d):
+    return p01_overlap.found(_predictions(spark, d))
+
+
+def p1_by_split(spark, d):
+    return p01_overlap.report(_predictions(spark, d))
+
+
 def p2_found(spark, d):
     return p02_forms.found(_predictions(spark, d))
 
@@ -42,5 +64,67 @@ def p4_ablation(spark, d):
     return p04_repetition.ablation(p4_shares(spark, d))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_normalized, p3_found, p3_by_system, p4_found, p4_shares, p4_ablation)}
+def p5_found(spark, d):
+    return p05_consensus.found(table(spark, d, "annotation_items"), table(spark, d, "fidelity_codebook"))
+
+
+def p5_consensus(spark, d):
+    return p05_consensus.consensus(table(spark, d, "annotation_items"), table(spark, d, "fidelity_codebook"))
+
+
+def p5_annotators(spark, d):
+    return p05_consensus.annotators(table(spark, d, "annotation_items"), table(spark, d, "fidelity_codebook"))
+
+
+def _sampling(spark, d):
+    return table(spark, d, "sample_targets"), table(spark, d, "annotation_items"), _predictions(spark, d)
+
+
+def p6_found(spark, d):
+    return p06_sampling.found(*_sampling(spark, d))
+
+
+def p6_sample(spark, d):
+    return p06_sampling.sample(*_sampling(spark, d))
+
+
+def p6_report(spark, d):
+    return p06_sampling.report(*_sampling(spark, d))
+
+
+def p7_ids(spark, d):
+    return p07_encoding.encoded(_documents(spark, d))
+
+
+def p7_by_source(spark, d):
+    return p07_encoding.report(_documents(spark, d))
+
+
+def p8_found(spark, d):
+    return p08_mixing.found(_documents(spark, d), table(spark, d, "mix_targets"))
+
+
+def p8_mixture(spark, d):
+    return p08_mixing.mixed(_documents(spark, d), table(spark, d, "mix_targets"))
+
+
+def p8_shares(spark, d):
+    return p08_mixing.shares(p8_mixture(spark, d), table(spark, d, "mix_targets"))
+
+
+def p9_found(spark, d):
+    return p09_residue.found(_documents(spark, d))
+
+
+def p9_residue(spark, d):
+    return p09_residue.examined(_documents(spark, d))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        p1_found, p1_by_split, p2_found, p2_normalized, p3_found, p3_by_system, p4_found, p4_shares, p4_ablation, p5_found, p5_consensus, p5_annotators,
+        p6_found, p6_sample, p6_report, p7_ids, p7_by_source, p8_found, p8_mixture, p8_shares, p9_found, p9_residue,
+    )
+}
 ORACLE: dict[str, str] = {}
