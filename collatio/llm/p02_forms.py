@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from collatio.llm import chars
+from collatio.sources import cut_lineage
 
 _KEY = "__form_key"
 
@@ -30,7 +31,7 @@ def _patterns() -> dict[str, str]:
     inside = "[\\p{M}" + chars.EDITION_MARKS + chars.java_class(list(chars.INVISIBLE_RANGES)) + "]"
     pairs = [(a, b) for a in ("latin", "greek", "cyrillic") for b in ("latin", "greek", "cyrillic") if a != b]
     return {
-        "unsafe": chars.unsafe_class(),
+        "safe": "^(?:" + "|".join(f"{x}++" for x in chars.safe_classes()) + ")*+\\z",
         "foreign": foreign,
         "mixed": "|".join(f"[{c[a]}]{inside}*+[{c[b]}]" for a, b in pairs),
         **{f"not_{a}": f"[{c['latin']}&&[^{''.join(x for x in chars.lookalikes()[a].values())}]]" for a in ("greek", "cyrillic")},
@@ -42,7 +43,7 @@ def _patterns() -> dict[str, str]:
 def needs_work(text: Column) -> Column:
     """True where a text may not be in form: the quick check, on the JVM."""
     p = _patterns()
-    return text.rlike(p["unsafe"]) | (text.rlike(p["foreign"]) & text.rlike(p["mixed"]))
+    return ~text.rlike(p["safe"]) | (text.rlike(p["foreign"]) & text.rlike(p["mixed"]))
 
 
 def _count(text: Column, alphabet: str) -> Column:
@@ -73,15 +74,15 @@ def _compose(marks: Column) -> Column:
 
 
 def clean_texts(texts: DataFrame) -> DataFrame:
-    """(text) -> (text, clean, n_mixed), one row for each different text that the quick check doesn't pass;
-    n_mixed counts its words of several alphabets.
+    """(text) -> (text, clean, n_mixed), one row for each different text; meant for those that the quick check
+    doesn't pass.  n_mixed counts its words of several alphabets.
 
     The different texts are spread by a key of their own (their hashes and length); from there on every step
     keeps that partitioning, so code points are never shuffled."""
     spark, p = texts.sparkSession, _patterns()
     table, marks = _maps(spark)
     key = F.struct(F.xxhash64("text").alias("a"), F.hash("text").alias("b"), F.length("text").alias("n"))
-    distinct = texts.filter(needs_work(F.col("text"))).select("text").distinct().withColumn(_KEY, key).repartition(_KEY)
+    distinct = texts.select("text").distinct().withColumn(_KEY, key).repartition(_KEY)
     words = distinct.select(_KEY, F.posexplode(F.regexp_extract_all("text", F.lit(p["word"]), F.lit(0))).alias("word_pos", "word"))
     n = {a: _count(F.col("word"), a) for a in ("latin", "greek", "cyrillic")}
     # a word belongs to its commonest alphabet, but never to one that lacks some of its Latin letters
@@ -91,7 +92,7 @@ def clean_texts(texts: DataFrame) -> DataFrame:
         .otherwise(F.when(F.col("word").rlike(p["not_cyrillic"]), "latin").otherwise("cyrillic"))
     )
     words = words.withColumn("main", F.when(F.col("word").rlike(p["foreign"]) & F.col("word").rlike(p["mixed"]), main))
-    whole = F.col("main").isNull() & ~F.col("word").rlike(p["unsafe"])
+    whole = F.col("main").isNull() & F.col("word").rlike(p["safe"])
     units = words.select(
         _KEY, "word_pos", "main", F.posexplode(F.when(whole, F.array("word")).otherwise(F.split("word", ""))).alias("pos", "ch")
     ).join(table, "ch", "left")
@@ -132,8 +133,9 @@ def with_forms(df: DataFrame, column: str, out: str) -> DataFrame:
     """df with a column out: the text of column in its one form.  Texts that pass the quick check (and nulls)
     go through as they are; only the others take part in the join, whose key is the text itself."""
     c = F.col(f"`{column}`")
-    ready = df.filter(~F.coalesce(needs_work(c), F.lit(False))).withColumn(out, c)
-    work = df.filter(F.coalesce(needs_work(c), F.lit(False)))
+    checked = F.coalesce(needs_work(c), F.lit(False))
+    ready = df.filter(~checked).withColumn(out, c)
+    work = cut_lineage(df.filter(checked))
     fixed = clean_texts(work.select(c.alias("text"))).select(F.col("text").alias("__form_text"), F.col("clean").alias(out))
     joined = work.join(fixed, F.col(f"`{column}`") == F.col("__form_text"), "left").drop("__form_text")
     return ready.unionByName(joined)
@@ -142,7 +144,8 @@ def with_forms(df: DataFrame, column: str, out: str) -> DataFrame:
 def found(df: DataFrame, fields: tuple[str, ...] = ("reference", "prediction"), key: str = "row_id") -> DataFrame:
     """(key, field) of every text whose one form differs from it, or in which a word mixes alphabets even so."""
     stack = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("text")) for f in fields])).alias("x")
-    long = df.select(key, stack).select(key, "x.field", "x.text").filter(needs_work(F.col("text")))
+    # the check reads every text once; what it leaves is written, as three steps read it
+    long = cut_lineage(df.select(key, stack).select(key, "x.field", "x.text").filter(needs_work(F.col("text"))))
     fixed = clean_texts(long.select("text")).filter((F.col("clean") != F.col("text")) | (F.col("n_mixed") > 0)).select("text")
     return long.join(fixed, "text", "left_semi").select(key, "field")
 
