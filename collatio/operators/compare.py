@@ -35,6 +35,17 @@ def pairing_violations(x: DataFrame, systems: tuple[str, str], unit: str = "docu
     return wide.unpivot(["metric"], list(checks), "problem", "n").filter("n > 0")
 
 
+def common_observations(x: DataFrame, systems: tuple[str, str], keys: Sequence[str], system_col: str = "system") -> DataFrame:
+    """The rows of the two systems whose pair both of them have (nulls in the key are values)."""
+    rows = x.filter(F.col(system_col).isin(*systems))
+    both = rows.groupBy("metric", *keys).agg(F.countDistinct(system_col).alias("__n")).filter("__n = 2")
+    both = both.select(F.col("metric").alias("__metric"), *[F.col(k).alias(f"__{k}") for k in keys])
+    on = F.col("metric") == F.col("__metric")
+    for k in keys:
+        on &= F.col(k).eqNullSafe(F.col(f"__{k}"))
+    return rows.join(both, on, "left_semi")
+
+
 def _validate(x: DataFrame, a: str, b: str, unit: str, pair_id: Sequence[str], system_col: str) -> None:
     present = {r[0] for r in x.select(system_col).filter(F.col(system_col).isin(a, b)).distinct().collect()}
     if missing := {a, b} - present:

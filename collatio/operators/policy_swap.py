@@ -5,7 +5,7 @@ from __future__ import annotations
 import sys
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from collatio.functions.align import output_distance
@@ -45,9 +45,11 @@ def frozen_identity(manifest: DataFrame) -> DataFrame:
 
 
 def condition_conflicts(x: DataFrame, model_col: str = "model", condition_col: str = "prompt_condition", system_col: str = "system") -> DataFrame:
-    """Models and conditions that stand for more than one system."""
-    rows = x.filter(F.trim(F.col(model_col)) != "").groupBy(model_col, condition_col).agg(F.countDistinct(system_col).alias("n_systems"))
-    return rows.filter("n_systems > 1")
+    """Conditions that stand for more than one system, of the models that have several conditions."""
+    rows = x.filter(F.trim(F.col(model_col)) != "").select(model_col, condition_col, system_col).distinct()
+    counted = rows.groupBy(model_col, condition_col).agg(F.count(system_col).alias("n_systems"))
+    several = F.count(condition_col).over(Window.partitionBy(model_col))  # one row a condition
+    return counted.withColumn("__several", several).filter("n_systems > 1 and __several > 1").drop("__several")
 
 
 def _pairs(x: DataFrame, metric: str, model_col: str, condition_col: str, system_col: str, keys: list[str], order: str | None) -> DataFrame:

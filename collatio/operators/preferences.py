@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from collatio.operators.policy_swap import TOLERANCE
 from collatio.operators.sampling import hash_index, stratified_sample
+from collatio.sources import cut_lineage
 
 # What a preference may be.
 PREFERENCES = ("A", "B", "tie", "ambiguous")
@@ -24,11 +25,11 @@ def prepare_preference_batch(changed: DataFrame, n: int = 300, seed: int = 2027,
     """A balanced sample of changed outputs, whose sides are swapped by a hash bit in half of the items; the key
     has conditions, systems, rates and their difference in the order that the annotator saw."""
     groups = ["model", "condition_a", "condition_b"]
-    rows = changed.filter("prediction_a <> prediction_b")
+    rows = cut_lineage(changed.filter("prediction_a <> prediction_b"))  # aligned once, read by every step of the sample
     if not rows.limit(1).count():
         raise ValueError("no changed outputs")
     drawn = stratified_sample(rows, groups, n, [*groups, unit, pair_id], seed)
-    drawn = drawn.withColumn("annotation_id", F.format_string("pref_%06d", "draw")).withColumn("swap", hash_index(F.lit(2), seed, F.lit("swap"), *groups, unit, pair_id) == 1)
+    drawn = cut_lineage(drawn).withColumn("annotation_id", F.format_string("pref_%06d", "draw")).withColumn("swap", hash_index(F.lit(2), seed, F.lit("swap"), *groups, unit, pair_id) == 1)
     first = lambda c: F.when(F.col("swap"), F.col(f"{c}_b")).otherwise(F.col(f"{c}_a"))
     second = lambda c: F.when(F.col("swap"), F.col(f"{c}_a")).otherwise(F.col(f"{c}_b"))
     empty = [F.lit(None).cast(t).alias(c) for c, t in (("preferred_output", "string"), ("reason_label", "string"), ("annotator", "string"), ("confidence", "int"), ("notes", "string"))]
