@@ -127,13 +127,14 @@ def safe_classes() -> list[str]:
     """Java classes, a block each from the commonest on, of the characters that need no work by themselves.
 
     A quick check in the manner of Unicode's own: whatever is outside goes the whole way, so the list only
-    saves time."""
-    safe: list[list[int]] = [[], [], [], []]
+    saves time.  The last one is of marks, of which only one may stand at a time: several may be out of order."""
+    safe: list[list[int]] = [[], [], [], [], []]
     for cp in range(0, 0xD800):
         ch = chr(cp)
         if plain_form(ch) == ch and unicodedata.normalize("NFC", ch) == ch and ch not in composing_marks():
-            safe[0 if cp < 0x250 else 1 if 0x370 <= cp < 0x530 else 2 if 0x2000 <= cp < 0x2800 or 0x350 <= cp < 0x370 or 0xA640 <= cp < 0xA800 else 3].append(cp)
-    return [f"[{java_class(_ranges(x))}]" for x in safe]
+            safe[4 if unicodedata.category(ch)[0] == "M" else 0 if cp < 0x250 else 1 if 0x370 <= cp < 0x530 else 2 if 0x2000 <= cp < 0x2800 or 0xA640 <= cp < 0xA800 else 3].append(cp)
+    *letters_, marks = [f"[{java_class(_ranges(x))}]" for x in safe]
+    return [*letters_, marks + "(?!\\p{M})"]
 
 
 @lru_cache(1)

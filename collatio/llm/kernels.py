@@ -51,26 +51,23 @@ def covered(s: str, k: int = 6, bridge: int = 3, drift: int = 2) -> int:
     grams = [s[i : i + k] for i in range(n - k + 1)]
     if len(set(grams)) == len(grams):
         return 0
-    last: dict[str, list[int]] = {}
-    runs: list[list[int]] = []  # start, end (exclusive), shift of the source at the start and at the end
+    first: dict[str, int] = {}
+    total = start = end = 0  # the open stretch
+    shift = 0  # how far behind its source lies
+    near = sorted(range(-drift, drift + 1), key=abs)
     for i, g in enumerate(grams):
-        src = last.get(g)
-        if src is None:
-            last[g] = [i]
+        if first.setdefault(g, i) == i:
             continue
-        prev = runs[-1] if runs else None
-        if prev and i < prev[1] + bridge + 1:
-            want = prev[3]
-            best = min(src, key=lambda j: abs((i - j) - want))
-            same = abs((i - best) - want) <= drift
-            if i <= prev[1] or same:
-                prev[1] = i + k
-                prev[3] = i - best
-                src.append(i)
+        if total or end:
+            # where the source would be if the copy went on
+            same = next((d for d in near if 0 <= i - shift + d < i and grams[i - shift + d] == g), None)
+            if i <= end or (i <= end + bridge and same is not None):
+                end = i + k
+                shift = shift - same if same is not None else i - first[g]
                 continue
-        src.append(i)
-        runs.append([i, i + k, i - src[0], i - src[0]])
-    return sum(b - a for a, b, *_ in runs)
+        total += end - start
+        start, end, shift = i, i + k, i - first[g]
+    return total + end - start
 
 
 def share(s: str, k: int = 6) -> float:

@@ -31,7 +31,7 @@ def _patterns() -> dict[str, str]:
     inside = "[\\p{M}" + chars.EDITION_MARKS + chars.java_class(list(chars.INVISIBLE_RANGES)) + "]"
     pairs = [(a, b) for a in ("latin", "greek", "cyrillic") for b in ("latin", "greek", "cyrillic") if a != b]
     return {
-        "safe": "^(?:" + "|".join(f"{x}++" for x in chars.safe_classes()) + ")*+\\z",
+        "safe": "^(?:" + "|".join(x if x.endswith(")") else f"{x}++" for x in chars.safe_classes()) + ")*+\\z",
         "foreign": foreign,
         "mixed": "|".join(f"[{c[a]}]{inside}*+[{c[b]}]" for a, b in pairs),
         **{f"not_{a}": f"[{c['latin']}&&[^{''.join(x for x in chars.lookalikes()[a].values())}]]" for a in ("greek", "cyrillic")},

@@ -65,7 +65,10 @@ def structure(text: str) -> tuple[int, int]:
     if any(x in "([{⟦⟨" for x in stack):
         mask |= OPEN_BRACKET
     while m := _TAIL.search(text, 0, end):
-        kind = m.lastgroup
+        kind, last = m.lastgroup, text[end - 1]
+        # a quote at the end may close one: it must be the odd one, an apostrophe must not follow a letter
+        if kind == "open" and (last == '"' and text.count('"', 0, end) % 2 == 0 or last == "'" and text[: m.start()][-1:].isalnum()):
+            break
         mask |= {"bytes": BROKEN_BYTES, "dots": DOTS, "entity": BROKEN_ENTITY, "escape": BROKEN_ESCAPE, "markup": BROKEN_MARKUP, "open": OPEN_BRACKET}[kind]
         end = len(text[: m.start()].rstrip())
         if kind == "dots" or end == 0:
