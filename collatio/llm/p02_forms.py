@@ -58,7 +58,8 @@ def _maps(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
 
 def _compose(marks: Column) -> Column:
     """Compose a cluster: marks is the ordered array of (ccc, pos, sub, unit), the starter first."""
-    pairs = F.create_map(*[F.lit(x) for kv in chars.compositions().items() for x in kv])
+    table = chars.compositions()
+    pairs = F.map_from_arrays(*[F.split(F.lit("\x1f".join(side)), "\x1f") for side in (table.keys(), table.values())])  # folded to a literal
     start = F.struct(marks[0]["unit"].alias("base"), F.lit(0).alias("last"), F.lit("").alias("rest"))
 
     def step(acc: Column, m: Column) -> Column:
