@@ -127,4 +127,14 @@ QUERIES = {
         p6_found, p6_sample, p6_report, p7_ids, p7_by_source, p8_found, p8_mixture, p8_shares, p9_found, p9_residue,
     )
 }
-ORACLE: dict[str, str] = {}
+_L = "lower(regexp_replace({}, '^\\s+|\\s+$', '', 'g'))"
+_P6_COUNTS = f"""WITH t AS (SELECT *, {_L.format("system")} AS s, {_L.format("language")} AS l, {_L.format("script_type")} AS c,
+    bool_or(system IS NOT NULL) OVER w AS by_s, bool_or(script_type IS NOT NULL) OVER w AS by_c FROM sample_targets WINDOW w AS (PARTITION BY plan_id)),
+  spans AS (SELECT annotation_id, min({_L.format("system")}) AS s FROM annotation_items WHERE annotation_id IS NOT NULL AND system IS NOT NULL GROUP BY 1),
+  lines AS (SELECT line_id, min({_L.format("language")}) AS l FROM {PREDICTIONS} WHERE line_id IS NOT NULL AND language IS NOT NULL GROUP BY 1),
+  both_ AS (SELECT line_id, min([{_L.format("language")}, {_L.format("script_type")}]) AS lc FROM {PREDICTIONS} WHERE line_id IS NOT NULL AND language IS NOT NULL AND script_type IS NOT NULL GROUP BY 1),
+  n AS (SELECT t.*, CASE WHEN by_s THEN (SELECT count(*) FROM spans) WHEN by_c THEN (SELECT count(*) FROM both_) ELSE (SELECT count(*) FROM lines) END AS pool,
+    CASE WHEN by_s THEN (SELECT count(*) FROM spans x WHERE x.s = t.s) WHEN by_c THEN (SELECT count(*) FROM both_ x WHERE x.lc = [t.l, t.c]) ELSE (SELECT count(*) FROM lines x WHERE x.l = t.l) END AS ids FROM t)"""
+ORACLE: dict[str, str] = {
+    "p6_found": _P6_COUNTS + " SELECT target_id FROM n WHERE ids < min_rows OR ids * 100000 < pool_percent * target_permille * pool",
+}
