@@ -6,6 +6,7 @@ similar length, so the interpreter is left out of the inner loops."""
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from collections.abc import Sequence
 
@@ -15,6 +16,8 @@ import regex
 from collatio.policy import EvalPolicy
 
 _GRAPHEMES = regex.compile(r"\X").findall
+# letters, digits and signs that never join a neighbour: each is a grapheme of its own
+_SIMPLE = re.compile(r"[\x20-\x7e\xa0-\xac\xae-\u02ff\u0370-\u0482\u048a-\u052f\u1e00-\u1fff\u2010-\u2027\u2030-\u205e\u2100-\u218b\u27e6-\u27eb\ua640-\ua66e\ua720-\ua7ff]*").fullmatch
 _PUNCTUATION = regex.compile(r"\p{P}+")
 _SPACE = regex.compile(r"\p{White_Space}+")
 _WORDS = regex.compile(r"[^\p{White_Space}]+").findall
@@ -48,7 +51,7 @@ def normalize(text: str, policy: EvalPolicy) -> str:
 def tokenize(text: str, unit: str) -> list[str]:
     if unit == "word":
         return _WORDS(text)
-    if unit == "codepoint" or (text.isascii() and "\r" not in text):
+    if unit == "codepoint" or _SIMPLE(text):
         return list(text)
     return _GRAPHEMES(text)
 

@@ -74,6 +74,15 @@ def test_tokenize():
     assert kernel.tokenize("", "codepoint") == []
 
 
+def test_simple_graphemes_are_graphemes():
+    rng = random.Random(6)
+    signs = [chr(c) for c in range(0x20, 0xD800) if kernel._SIMPLE(chr(c))]
+    assert len(signs) > 1500 and {"⁊", "ꝛ", "é", "ж", "ῶ", "⟦"} <= set(signs)
+    for _ in range(300):
+        text = "".join(rng.choices(signs, k=40))
+        assert kernel._GRAPHEMES(text) == list(text)
+
+
 def test_spans():
     s = kernel.spans(kernel.scripts([(list("abcdef"), list("abXYef"))])[0], False, 2)
     assert len(s) == 1 and s[0][1:5] == ("substitution", "substitution+substitution", "cd", "XY") and s[0][5:9] == (3, 4, 3, 4) and s[0][12:] == ("ab", "ef", False)
