@@ -9,7 +9,8 @@ threshold, on the JVM).
 
 The join works on different texts, not on lines: copies are one text with many lines, so a text that a third of
 all lines share is joined once.  Joins are plain equi-joins on a hash of (place, substring), shuffled and open to
-the skew handling of the adaptive planner; nothing that grows with the data is broadcast.
+the skew handling of the adaptive planner; all that is broadcast is a bitmap of a fixed size, which spares the shuffle
+of substrings that no segment has.
 
 Defined results: lines without a split, null references and references with fewer than min_letters letters
 don't count; a line given in several forms counts with each; a line that stands on both sides is never its own
@@ -28,6 +29,8 @@ from collatio.llm.chars import letters
 from collatio.sources import cut_lineage
 
 MIN_LETTERS = 20
+#: Words of the bitmap that is broadcast: 8 bytes each, some 8 MB in all.
+WORD_BITS = 18
 #: Differences allowed, in percent of the longer text's letters.
 PERCENT = 15
 
@@ -111,6 +114,16 @@ def _substrings(texts: DataFrame, percent: int) -> DataFrame:
     return placed.select(sides, F.col("id").alias("train_id"), F.col("n").alias("train_n"))
 
 
+def _likely(substrings: DataFrame, segments: DataFrame) -> DataFrame:
+    """The substrings whose key some segment may have: most have none and needn't be shuffled.
+
+    A bitmap of the segments' keys, 64 bits for each of 2 ** WORD_BITS words, is broadcast; its size is fixed, so with
+    very many segments it fills up and lets more pass, and no substring that has a partner is ever lost."""
+    word, bit = F.shiftrightunsigned("key", 64 - WORD_BITS), F.expr("shiftleft(1L, int(key & 63))")
+    mask = segments.groupBy(word.alias("word")).agg(F.bit_or(bit).alias("mask"))
+    return substrings.withColumn("word", word).join(F.broadcast(mask), "word").filter(F.col("mask").bitwiseAND(bit) != 0).drop("word", "mask")
+
+
 def text_pairs(rows: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
     """(pairs, members) of lines().  pairs: (eval_id, train_id, distance), one for each pair of different texts
     (ids of texts) within reach; members: (id, side, line_id, split)."""
@@ -118,7 +131,8 @@ def text_pairs(rows: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, Data
     texts = rows.select("letters", side.alias("side")).distinct().withColumn("id", F.monotonically_increasing_id())
     texts = cut_lineage(texts)  # the ids must stay the same when a task runs again
     ev, tr = texts.filter("side = 'eval'"), texts.filter("side = 'train'")
-    met = _segments(ev, percent).join(_substrings(tr, percent), "key")
+    segments = _segments(ev, percent)
+    met = segments.join(_likely(_substrings(tr, percent), segments), "key")
     delta = F.col("train_n") - F.col("eval_n")
     shift = F.coalesce(F.col("front_shift"), delta - F.col("back_shift"))  # from the start
     right = F.coalesce(delta - F.col("front_shift"), F.col("back_shift"))
