@@ -61,7 +61,7 @@ def _pairs(x: DataFrame, metric: str, model_col: str, condition_col: str, system
     side = lambda s: rows.select(
         F.col(model_col).alias("model"), *keys, F.col(condition_col).alias(f"condition_{s}"), F.col(system_col).alias(f"system_{s}"), F.col("prediction").alias(f"prediction_{s}"),
         F.col("rate").alias(f"rate_{s}"), F.col("n_reference").alias(f"ref_{s}"), F.col("insertions").alias(f"ins_{s}"), F.col("distance").alias(f"dist_{s}"), *([F.col("reference")] if s == "a" and "reference" in x.columns else []),
-    ).join(F.broadcast(rank.select("model", F.col("condition").alias(f"condition_{s}"), F.col("first").alias(f"first_{s}"))), ["model", f"condition_{s}"])
+    ).join(rank.select("model", F.col("condition").alias(f"condition_{s}"), F.col("first").alias(f"first_{s}")), ["model", f"condition_{s}"])
     keyed = ["model", *keys]
     both = side("a").join(side("b"), keyed)
     before = (F.col("first_a") < F.col("first_b")) | ((F.col("first_a") == F.col("first_b")) & (F.col("condition_a") < F.col("condition_b")))

@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 # Columns of the recognition table that side tables must not have.
 RESERVED = ("benchmark", "document_id", "page_id", "line_id", "system", "reference", "prediction", "image_path", "source_xml", "hpos", "vpos", "width", "height", "polygon")
 
+#: Systems of one table, which are named to the plan.
+MOST_SYSTEMS = 10_000
+
 
 def load_predictions(spark: SparkSession, systems: dict[str, str], strict: bool = False) -> DataFrame:
     """(system, line_id, prediction) of JSON files: an object line_id -> text (null reads as empty) or, unless
@@ -35,10 +38,12 @@ def load_predictions(spark: SparkSession, systems: dict[str, str], strict: bool
 def build_table(ground_truth: DataFrame, predictions: DataFrame, benchmark: str = "", metadata: DataFrame | None = None, allow_missing: bool = False) -> DataFrame:
     """Every ground-truth line for every system, with its prediction.  Predictions of unknown lines raise, missing ones
     too unless allow_missing reads them as empty.  metadata adds columns by line_id ("" where it has no row)."""
-    systems = predictions.select("system").distinct()
+    systems = [r.system for r in predictions.select("system").distinct().limit(MOST_SYSTEMS + 1).collect()]
+    if len(systems) > MOST_SYSTEMS:
+        raise ValueError(f"more than {MOST_SYSTEMS} systems")
     if (extra := predictions.join(ground_truth, "line_id", "left_anti").limit(1).collect()):
         raise ValueError(f"{extra[0].system} predicts line {extra[0].line_id}, which is absent from ground truth")
-    grid = ground_truth.crossJoin(F.broadcast(systems))  # lines by systems is the result itself
+    grid = ground_truth.withColumn("system", F.explode(F.array(*map(F.lit, systems)).cast("array<string>")))  # lines by systems is the result itself
     rows = grid.join(predictions, ["line_id", "system"], "left")
     if allow_missing:
         rows = rows.fillna("", ["prediction"])
