@@ -2,12 +2,13 @@
 
 Method: subset-sum budget fitting.  A source's goal is its share of the budget; whole repeats are taken while they
 fit and are allowed, and the rest is filled with documents in the order of a seeded hash: level by level, sums by
-hash bucket (4,096 a source and level, the only rows that reach the driver) say which buckets fit whole, until
-less than WINDOW tokens are open.  Those are fitted exactly: the source's other documents are counted by token
-length, a bounded knapsack over lengths finds the best reachable sum, and so many seeded documents of each length
-are taken.
+hash bucket (4,096 a source and level) say which buckets fit whole, until less than the longest document is open;
+then again with the documents of at most half of what is open, until that is less than WINDOW tokens.  Those are
+fitted exactly: the source's other documents are counted by token length, a bounded knapsack over lengths finds the
+best reachable sum, and so many seeded documents of each length are taken.  If the documents of at most WINDOW tokens
+are used up before, longer ones that still fit are taken first, the longest before the others.
 
-A document of more than WINDOW tokens is taken with its whole source only, never to fill a rest.
+So a source stays short by less than WINDOW tokens or by less than its shortest document that isn't taken.
 
 Defined results: null texts have no tokens and are never taken, empty ones (0 tokens) neither; documents without
 a source, or with one that has no target, count in the total only; a target without documents is a shortfall of
@@ -80,6 +81,45 @@ def found(documents: DataFrame, targets: DataFrame, vocabulary: str | None = Non
     return rows.filter("missed or tokens = 0").select("source")
 
 
+def _marked(usable: DataFrame, edges: dict[str, list[tuple[int, int]]], sources: list[str]) -> DataFrame:
+    """The documents of the sources, with taken: 1 under one of the source's edges, if not longer than goes with that edge."""
+    spark = usable.sparkSession
+    of = spark.createDataFrame([(s, [(str(edge), most) for edge, most in edges[s]]) for s in sources], "source string, edges array<struct<edge string, most long>>")
+    of = of.withColumn("edges", F.expr("transform(edges, e -> struct(cast(e.edge as decimal(20,0)) as edge, e.most as most))"))
+    return usable.join(F.broadcast(of), "source").withColumn("taken", F.expr("cast(exists(edges, e -> number < e.edge and tokens <= e.most) as int)")).drop("edges")
+
+
+def _levels(level: DataFrame, sources: list[str], most: dict[str, int], goal: dict[str, int], edges: dict[str, list[tuple[int, int]]]) -> None:
+    """Fills the goals with documents of at most most[source] tokens until less than that is open; appends the edges."""
+    spark = level.sparkSession
+    below, bits = dict.fromkeys(sources, 0), 0
+    while bits < 60 and any(goal[s] >= most[s] for s in sources):
+        bits += LEVEL_BITS
+        open_now = [s for s in sources if goal[s] >= most[s]]
+        bounds = spark.createDataFrame([(s, most[s], below[s] << LEVEL_BITS, (below[s] + 1) << LEVEL_BITS) for s in open_now], "source string, most long, first long, after long")
+        got = (
+            level.withColumn("bucket", F.expr(f"number div cast('{1 << (64 - bits)}' as decimal(20,0))"))
+            .join(F.broadcast(bounds), "source").filter("tokens <= most and bucket >= first and bucket < after")
+            .groupBy("source", "bucket").agg(F.sum("tokens").alias("tokens")).collect()
+        )  # at most 4,096 rows a source
+        by: dict[str, list] = {}
+        for r in got:
+            by.setdefault(r.source, []).append((r.bucket, r.tokens))
+        for s in sources:
+            below[s] <<= LEVEL_BITS
+            if s not in open_now:
+                continue
+            end = below[s] + (1 << LEVEL_BITS)
+            for bucket, tokens in sorted(by.get(s, [])):
+                if tokens > goal[s]:
+                    end = bucket
+                    break
+                goal[s] -= tokens
+            below[s] = end
+    for s in sources:
+        edges[s].append((below[s] << (64 - bits), most[s]))
+
+
 def mixed(documents: DataFrame, targets: DataFrame, key: str = "doc_id", seed: int = 2027, budget: int | None = None,
           vocabulary: str | None = None) -> DataFrame:
     """(key, source, tokens, copies) of every document in the mixture.  The budget is, unless given, the tokens of
@@ -92,51 +132,40 @@ def mixed(documents: DataFrame, targets: DataFrame, key: str = "doc_id", seed: i
     number = F.xxhash64(F.lit(seed), F.col(key)).cast("decimal(20,0)") + F.lit(str(1 << 63)).cast("decimal(20,0)")
     rows = sized(documents, key, vocabulary).withColumn("number", number.cast("decimal(20,0)"))
     rows = cut_lineage(rows)  # encoded once, read by every level
-    sums = {r.source: (r.tokens or 0) for r in rows.join(F.broadcast(targets.select("source")), "source", "left_semi").groupBy("source").agg(F.sum("tokens").alias("tokens")).collect()}
+    own_rows = rows.join(F.broadcast(targets.select("source")), "source", "left_semi").groupBy("source").agg(F.sum("tokens").alias("tokens"), F.max("tokens").alias("longest")).collect()
+    sums, longest = {r.source: (r.tokens or 0) for r in own_rows}, {r.source: (r.longest or 0) for r in own_rows}
     total = budget if budget is not None else rows.agg(F.sum("tokens")).first()[0] or 0
     whole, goal = {}, {}
     for source, (permille, repeats) in plan.items():
         wanted, own = total * permille // 1000, sums.get(source, 0)
         whole[source] = min(repeats, wanted // own) if own else 0
         goal[source] = wanted - whole[source] * own if own and whole[source] < repeats else 0
-    # level by level: documents whose number's first bits are under below[source] are taken
+    # level by level: documents whose number's first bits are under below[source] are taken, if they aren't too long
     at = [s for s in goal if goal[s] > 0]
-    below = dict.fromkeys(at, 0)
-    bits = 0
+    most = {s: max(WINDOW, min(goal[s], longest[s])) for s in at}
+    edges: dict[str, list[tuple[int, int]]] = {s: [] for s in plan}
     usable = rows.filter("tokens > 0")
-    small = F.col("tokens") <= WINDOW
-    while bits < 60 and any(goal[s] >= WINDOW for s in at):
-        bits += LEVEL_BITS
-        level = usable.filter(small).withColumn("bucket", F.expr(f"number div cast('{1 << (64 - bits)}' as decimal(20,0))"))
-        open_now = [s for s in at if goal[s] >= WINDOW]
-        edges = spark.createDataFrame([(s, below[s] << LEVEL_BITS, (below[s] + 1) << LEVEL_BITS) for s in open_now], "source string, first long, after long")
-        got = (
-            level.join(F.broadcast(edges), "source").filter("bucket >= first and bucket < after")
-            .groupBy("source", "bucket").agg(F.sum("tokens").alias("tokens")).collect()
-        )  # at most 4,096 rows a source
-        by: dict[str, list] = {}
-        for r in got:
-            by.setdefault(r.source, []).append((r.bucket, r.tokens))
-        for s in at:
-            below[s] <<= LEVEL_BITS
-            if s not in open_now:
-                continue
-            end = below[s] + (1 << LEVEL_BITS)
-            for bucket, tokens in sorted(by.get(s, [])):
-                if tokens > goal[s]:
-                    end = bucket
-                    break
-                goal[s] -= tokens
-            below[s] = end
-    edge = spark.createDataFrame([(s, whole[s], str(below.get(s, 0) << (64 - bits) if bits else 0)) for s in plan], "source string, whole int, edge string").withColumn("edge", F.col("edge").cast("decimal(20,0)"))
-    marked = usable.join(F.broadcast(edge), "source").withColumn("taken", ((F.col("number") < F.col("edge")) & small).cast("int"))
+    open_now = [s for s in at if goal[s] >= most[s]]
+    while open_now:
+        level = _marked(usable, edges, open_now).filter("taken = 0")
+        _levels(level, open_now, most, goal, edges)
+        for s in open_now:
+            most[s] = max(WINDOW, min(most[s], goal[s]) // 2) if most[s] > WINDOW else 0
+        open_now = [s for s in open_now if most[s] and goal[s] >= WINDOW]
+    marked = _marked(usable, edges, list(plan)).join(F.broadcast(spark.createDataFrame(list(whole.items()), "source string, whole int")), "source")
     # the rest: counts by exact length, of the lengths that fit
     rest = spark.createDataFrame([(s, goal[s]) for s in at if goal[s] > 0] or [("", 0)], "source string, goal long")
     lengths = marked.filter("taken = 0").join(F.broadcast(rest), "source").filter("tokens <= goal").groupBy("source", "tokens").agg(F.count("*").alias("n")).collect()
     counts: dict[str, dict[int, int]] = {}
     for r in lengths:
         counts.setdefault(r.source, {})[r.tokens] = r.n
-    need = [(s, length, n) for s in counts for length, n in fit(min(goal[s], WINDOW), counts[s]).items()]
+    need = []
+    for s, own in counts.items():
+        for length in sorted((x for x in own if x > WINDOW), reverse=True):
+            if n := min(own[length], goal[s] // length):
+                need.append((s, length, n))
+                goal[s] -= n * length
+        need += [(s, length, n) for length, n in fit(min(goal[s], WINDOW), {x: n for x, n in own.items() if x <= WINDOW}).items()]
     wanted = F.broadcast(spark.createDataFrame(need or [("", -1, 0)], "source string, tokens long, need int"))
     pool = marked.filter("taken = 0").join(wanted, ["source", "tokens"])
     # first few of each length by the hash, salted so that no length is one task's

@@ -60,3 +60,17 @@ def test_edges(spark):
     assert m.mixed(d.limit(0), t).count() == 0 and {r.source for r in m.found(d.limit(0), t).collect()} == {"a", "b", "c", "d"}
     assert m.mixed(d, t.limit(0)).count() == 0 and m.found(d, t.limit(0)).count() == 0
     assert m.mixed(d, t, budget=0).count() == 0
+
+
+@pytest.mark.parametrize("lengths, permille", [([100] * 40, 500), ([100] * 30 + [3] * 40, 700), ([70, 90, 130, 250] * 10, 400), ([1000] + [100] * 5, 300)])
+def test_long_documents_fill_too(spark, monkeypatch, lengths, permille):
+    monkeypatch.setattr(m, "WINDOW", 64)
+    rows = [(i, " ".join(["word"] * n), "a") for i, n in enumerate(lengths)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    size = {r.doc_id: r.tokens for r in m.sized(d).collect()}
+    goal = sum(size.values()) * permille // 1000
+    mix = m.mixed(d, targets(spark, [("a", permille, 1)])).collect()
+    got, taken = sum(r.tokens for r in mix), {r.doc_id for r in mix}
+    assert len(mix) == len(taken) and all(r.copies == 1 for r in mix)
+    # nothing that is left would fit
+    assert 0 < got <= goal and goal - got < min(n for i, n in size.items() if i not in taken)
