@@ -25,8 +25,6 @@ NO_TEXT, REPEATS, REFERENCE_REPEATS, WORD_RUN, LETTER_RUN, LINE_AGAIN, FLAGGED =
 RULES = {"no_text": NO_TEXT, "repeats": REPEATS, "reference_repeats": REFERENCE_REPEATS, "word_run": WORD_RUN, "letter_run": LETTER_RUN, "line_again": LINE_AGAIN, "flagged": FLAGGED}
 
 REPEATED, REPEATED_REFERENCE = 0.4, 0.25
-#: The reference is measured where this share of the prediction repeats: no policy looks at it elsewhere.
-FLOOR = 0.1
 
 
 class Policy(NamedTuple):
@@ -55,28 +53,26 @@ def _run(items: list[str]) -> int:
 
 
 def measure(prediction: str | None, reference: str | None) -> tuple[int, float, float | None, int]:
-    """(bits, repeated share, repeated share of the reference where it matters, longest run of a word)."""
+    """(bits, repeated share, repeated share of the reference, longest run of a word)."""
     s = letters(prediction) if prediction else ""
     if not s:
         return NO_TEXT, 0.0, None, 0
     rate = share(s)
-    bits, of_reference, run = 0, None, 1
+    bits, of_reference, run = 0, None, _run(prediction.lower().split())
     if rate >= REPEATED:
         bits |= REPEATS
-    if rate >= FLOOR:
-        run = _run(prediction.lower().split())
-        if run >= 3:
-            bits |= WORD_RUN
-        if "\n" in prediction:
-            lines = [x for x in map(letters, prediction.splitlines()) if x]
-            if len(set(lines)) < len(lines):
-                bits |= LINE_AGAIN
-        if _run(list(s)) >= 8:
-            bits |= LETTER_RUN
-        if reference is not None:
-            of_reference = share(letters(reference))
-            if of_reference > REPEATED_REFERENCE:
-                bits |= REFERENCE_REPEATS
+    if run >= 3:
+        bits |= WORD_RUN
+    if "\n" in prediction:
+        lines = [x for x in map(letters, prediction.splitlines()) if x]
+        if len(set(lines)) < len(lines):
+            bits |= LINE_AGAIN
+    if _run(list(s)) >= 8:
+        bits |= LETTER_RUN
+    if reference is not None:
+        of_reference = share(letters(reference))
+        if of_reference > REPEATED_REFERENCE:
+            bits |= REFERENCE_REPEATS
     return bits, rate, of_reference, run
 
 

@@ -48,3 +48,13 @@ def test_rules():
     assert p.measure("one long line here\none long line here", None)[0] & p.LINE_AGAIN
     assert p.measure(" ·", "x")[0] == p.NO_TEXT
     assert p.measure("lorem " * 20000, None)[1] > 0.99
+
+
+def test_rules_without_repeated_stretches():
+    # all of them hold where little or nothing of six letters is repeated
+    bits, rate, of_reference, run = p.measure("·lx· ·lx· ·lx·", "plega " * 5)
+    assert bits == p.WORD_RUN | p.REFERENCE_REPEATS and rate < 0.1 and of_reference > 0.5 and run == 3
+    long = " ".join(f"{a}{b}{c}" for a in "bcdfg" for b in "aeiou" for c in "lmnrst")
+    assert p.measure(f"{long}\nab\nab", None)[0] == p.LINE_AGAIN
+    assert p.measure(f"{long} aaaaaaaaa", None)[0] == p.LETTER_RUN
+    assert p.measure(f"{long} ac ac ac", R) == (p.WORD_RUN, p.share(p.letters(f"{long} ac ac ac")), p.share(p.letters(R)), 3)
