@@ -32,7 +32,7 @@ def test_recovers_truth_against_spammers(spark):
         if len(votes) >= 3:
             counts = {v: list(votes.values()).count(v) for v in votes.values()}
             majority += max(sorted(counts), key=counts.get) == t
-    got = c.consensus(frame(spark, rows), book(spark)).collect()
+    got = c.consensus(frame(spark, rows), book(spark), 3).collect()
     right = sum(r.primary_label == truth[r.annotation_id] for r in got)
     assert right > majority + 15 and right / len(got) > 0.8
     who = {r.annotator: r for r in c.annotators(frame(spark, rows), book(spark)).collect()}
@@ -48,7 +48,9 @@ def test_readings_and_edges(spark):
     ]
     df = frame(spark, rows).withColumns({"label": F.lit("x"), "theta": F.lit(1), "p": F.lit(2)})
     got = {r.annotation_id: r for r in c.consensus(df, book(spark)).collect()}
-    assert set(got) == {"1", "4"} and got["1"].primary_label == "repetition" and got["1"].n_annotators == 3
+    assert set(got) == {"1", "2", "4"} and got["2"].primary_label == "other" and got["2"].n_annotators == 2  # every item with a vote
+    assert {r.annotation_id for r in c.found(df, book(spark)).collect()} == {"1", "4"}
+    assert got["1"].primary_label == "repetition" and got["1"].n_annotators == 3
     assert round(got["4"].agreement, 3) == 0.667
     assert c.found(df.limit(0), book(spark)).count() == 0
     assert c.found(df, book(spark, [])).count() == 0
@@ -57,9 +59,19 @@ def test_readings_and_edges(spark):
 def test_many_annotators_take_the_other_join(spark, monkeypatch):
     rows = [(str(i), f"w{j}", LABELS[i % 5] if j else "other", 1, 1) for i in range(20) for j in range(4)]
     a = {tuple(r) for r in c.found(frame(spark, rows), book(spark)).collect()}
-    monkeypatch.setattr(c, "MOST_BROADCAST", 2)
-    monkeypatch.setattr(c, "ITERATIONS", 3)
+    who = {r.annotator: r.reliability for r in c.annotators(frame(spark, rows), book(spark)).collect()}
+    items = c.votes(frame(spark, rows), LABELS)
+    monkeypatch.setattr(c, "MOST_PARAMETERS", 10)
     assert {tuple(r) for r in c.found(frame(spark, rows), book(spark)).collect()} == a
+    p, _, converged = c.fit_table(items, len(LABELS))
+    assert converged and all(abs(r.theta - who[r.annotator]) < 1e-3 for r in p.collect())
+
+
+def test_convergence_is_reported(spark):
+    rows = [(str(i), f"w{j}", LABELS[(i * j) % 5], 1, 1) for i in range(30) for j in range(4)]
+    assert all(r.converged for r in c.annotators(frame(spark, rows), book(spark)).collect())
+    items = c.votes(frame(spark, rows), LABELS).groupBy("annotation_id").agg(F.collect_list(F.lit(0)).alias("who"), F.collect_list("label").alias("label"))
+    assert not c.fit(items, ["all"], len(LABELS), iterations=1).converged
 
 
 def test_many_votes_do_not_overflow(spark):
