@@ -9,11 +9,13 @@ threshold, on the JVM).
 
 The join works on different texts, not on lines: copies are one text with many lines, so a text that a third of
 all lines share is joined once.  Joins are plain equi-joins on a hash of (place, substring), shuffled and open to
-the skew handling of the adaptive planner; all that is broadcast is a bitmap of a fixed size, which spares the shuffle
-of substrings that no segment has.
+the skew handling of the adaptive planner; all that is broadcast is a bitmap, whose size follows the counted number of segments
+up to a bound and which spares the shuffle of substrings that no segment has.
 
-Defined results: lines without a split, null references and references with fewer than min_letters letters
-don't count; a line given in several forms counts with each; a line that stands on both sides is never its own
+Texts of fewer than min_letters letters are no case of found(); links() and report() have them too, matched where all
+letters are the same.
+
+Defined results: lines without a split and null references don't count, nor do references without letters; a line given in several forms counts with each; a line that stands on both sides is never its own
 partner; very long lines are joined whole; other columns, of whatever name, aren't read.
 """
 
@@ -29,8 +31,8 @@ from collatio.llm.chars import letters
 from collatio.sources import cut_lineage
 
 MIN_LETTERS = 20
-#: Words of the bitmap that is broadcast: 8 bytes each, some 8 MB in all.
-WORD_BITS = 18
+#: Words of the bitmap that is broadcast, 64 bits each: from some 8 MB in all, for up to four million keys, to 40 MB.
+WORD_BITS, MOST_WORD_BITS = 18, 20
 #: Differences allowed, in percent of the longer text's letters.
 PERCENT = 15
 
@@ -117,16 +119,17 @@ def _substrings(texts: DataFrame, percent: int) -> DataFrame:
 def _likely(substrings: DataFrame, segments: DataFrame) -> DataFrame:
     """The substrings whose key some segment may have: most have none and needn't be shuffled.
 
-    A bitmap of the segments' keys, 64 bits for each of 2 ** WORD_BITS words, is broadcast; its size is fixed, so with
-    very many segments it fills up and lets more pass, and no substring that has a partner is ever lost."""
-    word, bit = F.shiftrightunsigned("key", 64 - WORD_BITS), F.expr("shiftleft(1L, int(key & 63))")
+    A bitmap of the segments' keys is broadcast.  It has four bits a key while its bound allows; with more keys it
+    fills up and lets more pass, and no substring that has a partner is ever lost."""
+    bits = min(MOST_WORD_BITS, max(WORD_BITS, (segments.count() // 16).bit_length()))
+    word, bit = F.shiftrightunsigned("key", 64 - bits), F.expr("shiftleft(1L, int(key & 63))")
     mask = segments.groupBy(word.alias("word")).agg(F.bit_or(bit).alias("mask"))
     return substrings.withColumn("word", word).join(F.broadcast(mask), "word").filter(F.col("mask").bitwiseAND(bit) != 0).drop("word", "mask")
 
 
 def text_pairs(rows: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
     """(pairs, members) of lines().  pairs: (eval_id, train_id, distance), one for each pair of different texts
-    (ids of texts) within reach; members: (id, side, line_id, split)."""
+    (ids of texts) within reach; members: (id, side, line_id, split, letters)."""
     side = F.when(F.col("split") == "train", "train").otherwise("eval")
     texts = rows.select("letters", side.alias("side")).distinct().withColumn("id", F.monotonically_increasing_id())
     texts = cut_lineage(texts)  # the ids must stay the same when a task runs again
@@ -146,7 +149,7 @@ def text_pairs(rows: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, Data
     limit = F.expr(f"int(greatest(length(e), length(t)) * {percent} div 100)")
     d = F.expr(f"levenshtein(e, t, int(greatest(length(e), length(t)) * {percent} div 100))")
     pairs = both.select("eval_id", "train_id", d.alias("distance"), limit.alias("most")).filter("distance >= 0 and distance <= most").drop("most")
-    members = rows.withColumn("side", side).join(texts, ["letters", "side"]).select("id", "side", "line_id", "split")
+    members = rows.withColumn("side", side).join(texts, ["letters", "side"]).select("id", "side", "line_id", "split", "letters")
     return pairs, members
 
 
@@ -162,17 +165,42 @@ def found(df: DataFrame) -> DataFrame:
     )
 
 
+def _short_links(short: DataFrame) -> DataFrame:
+    """(letters, side) of the short texts that stand on both sides, one row each."""
+    both = short.groupBy("letters").agg(F.countDistinct("side").alias("n")).filter("n = 2").select("letters")
+    return both.withColumn("side", F.explode(F.array(F.lit("train"), F.lit("eval"))))
+
+
+def links(df: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """(line_id, split, class_id, n_letters, n_links, distance): one row for each line and form of its text, whose class
+    are all lines with the same letters.  n_links counts the classes on the other side within reach (short texts: the
+    same class), distance is the least of them (null without any).  Copies aren't expanded to pairs."""
+    rows = lines(df, 1).withColumn("side", F.when(F.col("split") == "train", "train").otherwise("eval"))
+    pairs, members = text_pairs(rows.filter(F.length("letters") >= MIN_LETTERS).drop("side"), percent)
+    pairs = cut_lineage(pairs)
+    hit = (
+        pairs.select(F.explode(F.array("eval_id", "train_id")).alias("id"), "distance")
+        .groupBy("id").agg(F.count("*").alias("n_links"), F.min("distance").alias("distance"))
+    )
+    long = members.join(hit, "id", "left").select("line_id", "split", "letters", "n_links", "distance")
+    short = rows.filter(F.length("letters") < MIN_LETTERS)
+    same = _short_links(short).withColumns({"n_links": F.lit(1).cast("long"), "distance": F.lit(0)})
+    short = short.join(same, ["letters", "side"], "left").select("line_id", "split", "letters", "n_links", "distance")
+    return long.unionByName(short).select(
+        "line_id", "split", F.md5("letters").alias("class_id"), F.length("letters").alias("n_letters"), F.coalesce("n_links", F.lit(0)).alias("n_links"), "distance"
+    )
+
+
 def report(df: DataFrame) -> DataFrame:
     """One row per gen_split (dev, test) and subcorpus of the evaluation lines: lines, lines with a partner in train,
-    of these lines with exactly the same letters.  Nothing is expanded to pairs of lines."""
-    rows = lines(df)
-    pairs, members = text_pairs(rows)
-    hit = pairs.groupBy("eval_id").agg(F.min("distance").alias("least"))
+    of these lines with exactly the same letters, and of those the ones too short to be a case of found().  Nothing is
+    expanded to pairs of lines."""
     where = df.filter(F.col("line_id").isNotNull() & split_of().isin("dev", "test")).select("line_id", split_of().alias("split"), "subcorpus").distinct()
-    ev = members.filter("side = 'eval'").select(F.col("id").alias("eval_id"), "line_id", "split").join(hit, "eval_id", "left")
-    ev = ev.groupBy("line_id", "split").agg(F.min("least").alias("least"))
+    short = F.col("n_letters") < MIN_LETTERS
+    ev = links(df).filter("split <> 'train'").groupBy("line_id", "split").agg(F.min(F.when(~short, F.col("distance"))).alias("least"), F.min(F.when(short, F.col("distance"))).alias("short"))
+    yes = lambda c: F.sum(F.when(c, 1).otherwise(0))
     return (
         where.join(ev, ["line_id", "split"])
         .groupBy(F.col("split").alias("gen_split"), "subcorpus")
-        .agg(F.count("*").alias("n_lines"), F.count("least").alias("n_overlapping"), F.sum(F.when(F.col("least") == 0, 1).otherwise(0)).alias("n_same"))
+        .agg(F.count("*").alias("n_lines"), F.count("least").alias("n_overlapping"), yes(F.col("least") == 0).alias("n_same"), yes(F.col("least").isNull() & (F.col("short") == 0)).alias("n_short_same"))
     )

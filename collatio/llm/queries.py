@@ -34,6 +34,10 @@ def p1_by_split(spark, d):
     return p01_overlap.report(_predictions(spark, d))
 
 
+def p1_links(spark, d):
+    return p01_overlap.links(_predictions(spark, d))
+
+
 def p2_found(spark, d):
     return p02_forms.found(_predictions(spark, d))
 
@@ -123,7 +127,7 @@ def p9_residue(spark, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        p1_found, p1_by_split, p2_found, p2_normalized, p3_found, p3_by_system, p4_found, p4_shares, p4_ablation, p5_found, p5_consensus, p5_annotators,
+        p1_found, p1_by_split, p1_links, p2_found, p2_normalized, p3_found, p3_by_system, p4_found, p4_shares, p4_ablation, p5_found, p5_consensus, p5_annotators,
         p6_found, p6_sample, p6_report, p7_ids, p7_by_source, p8_found, p8_mixture, p8_shares, p9_found, p9_residue,
     )
 }

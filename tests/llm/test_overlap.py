@@ -58,11 +58,23 @@ def test_edges(spark):
     assert p01_overlap.found(df.limit(0)).count() == 0
     report = {(r.gen_split, r.subcorpus): (r.n_lines, r.n_overlapping, r.n_same) for r in p01_overlap.report(df).collect()}
     assert report["dev", "y"] == (1, 1, 1)
+    # of short texts only those with the same letters meet, and only in links and the report
+    assert {(r.gen_split, r.subcorpus): (r.n_lines, r.n_short_same) for r in p01_overlap.report(df).collect()} == {("dev", "y"): (1, 0), ("test", "y"): (1, 1), ("test", "x"): (1, 0)}
+    links = {(r.line_id, r.split): (r.n_links, r.distance) for r in p01_overlap.links(df).collect()}
+    assert links == {("a", "train"): (1, 0), ("a", "test"): (1, 0), ("b", "dev"): (1, 0), ("f", "train"): (1, 0), ("g", "test"): (1, 0)}
     long = "".join(random.Random(1).choice("abcdefghij") for _ in range(3000))
     both = table(spark, [("a", "train", long, "x"), ("b", "dev", long[:1000] + "zz" + long[1003:], "x")])
     assert p01_overlap.found(both).count() == 1
 
 
+def test_links_are_of_classes(spark):
+    s = "the same formula stands in every charter"
+    rows = [(f"t{i}", "train", s, "x") for i in range(5)] + [("u", "train", s[:-1], "x"), ("e", "test", s, "x"), ("n", "dev", "nothing of the kind was ever found", "x"), ("w", "dev", "no", "x")]
+    got = {r.line_id: (r.n_links, r.distance, r.class_id) for r in p01_overlap.links(table(spark, rows)).collect()}
+    assert len(got) == 9 and {got[f"t{i}"] for i in range(5)} == {got["t0"]} and got["e"][:2] == (2, 0) and got["u"][:2] == (1, 1) and got["n"][:2] == got["w"][:2] == (0, None)
+    assert got["e"][2] == got["t0"][2] != got["u"][2]
+
+
 def test_hot_copies(spark):
     rows = [(f"t{i}", "train", "the same formula stands in every charter", "x") for i in range(60)] + [(f"e{i}", "test", "the same formula stands in every charte", "x") for i in range(40)]
     pairs, _ = p01_overlap.text_pairs(p01_overlap.lines(table(spark, rows)))
