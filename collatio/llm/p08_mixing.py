@@ -8,6 +8,9 @@ fitted exactly: the source's other documents are counted by token length, a boun
 best reachable sum, and so many seeded documents of each length are taken.  If the documents of at most WINDOW tokens
 are used up before, longer ones that still fit are taken first, the longest before the others.
 
+With the budget of all tokens, as asked, a source that falls short leaves the others with more than their share of what
+there is; the budget "attainable" is the largest one that keeps the shares.
+
 So a source stays short by less than WINDOW tokens or by less than its shortest document that isn't taken.
 
 Defined results: null texts have no tokens and are never taken, empty ones (0 tokens) neither; documents without
@@ -18,6 +21,8 @@ added up; ties of the hash are broken by the key.
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -64,23 +69,6 @@ def sized(documents: DataFrame, key: str = "doc_id", vocabulary: str | None = No
     return counted(documents, key, "source", vocabulary=vocabulary)
 
 
-def shortfalls(documents: DataFrame, targets: DataFrame, vocabulary: str | None = None) -> DataFrame:
-    """One row per target: source, tokens, goal (its share of all tokens), and whether it misses even when repeated."""
-    sums = counted(documents, "source", vocabulary=vocabulary).groupBy("source").agg(F.sum("tokens").alias("tokens"))
-    total = sums.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("total"))
-    return (
-        targets.join(sums, "source", "left").withColumn("tokens", F.coalesce("tokens", F.lit(0))).join(F.broadcast(total))
-        .select("source", "target_permille", "max_repeats", "tokens", "total",
-                (F.col("tokens") * F.col("max_repeats") * 1000 < F.col("target_permille") * F.col("total")).alias("missed"))
-    )
-
-
-def found(documents: DataFrame, targets: DataFrame, vocabulary: str | None = None) -> DataFrame:
-    """(source) of the targets that can't be met even when repeated; a source without documents is one."""
-    rows = shortfalls(documents, targets, vocabulary)
-    return rows.filter("missed or tokens = 0").select("source")
-
-
 def _marked(usable: DataFrame, edges: dict[str, list[tuple[int, int]]], sources: list[str]) -> DataFrame:
     """The documents of the sources, with taken: 1 under one of the source's edges, if not longer than goes with that edge."""
     spark = usable.sparkSession
@@ -120,10 +108,20 @@ def _levels(level: DataFrame, sources: list[str], most: dict[str, int], goal: di
         edges[s].append((below[s] << (64 - bits), most[s]))
 
 
-def mixed(documents: DataFrame, targets: DataFrame, key: str = "doc_id", seed: int = 2027, budget: int | None = None,
-          vocabulary: str | None = None) -> DataFrame:
-    """(key, source, tokens, copies) of every document in the mixture.  The budget is, unless given, the tokens of
-    all documents; a source gives target_permille of it or, if it can't, all its documents max_repeats times."""
+class Fitted(NamedTuple):
+    """What each source gives: wanted tokens, its own, and how often the whole of it is taken before the rest is filled."""
+
+    mixture: DataFrame
+    wanted: dict[str, int]
+    own: dict[str, int]
+    repeats: dict[str, int]
+
+
+def fitted(documents: DataFrame, targets: DataFrame, key: str = "doc_id", seed: int = 2027, budget: int | str | None = None,
+           vocabulary: str | None = None) -> Fitted:
+    """The mixture with what was wanted of each source.  The budget is, unless given, the tokens of all documents;
+    "attainable" is the largest one for which no source that has documents falls short, so that their shares among each
+    other are the wished ones."""
     spark = documents.sparkSession
     plan = {r.source: (r.target_permille, r.max_repeats) for r in targets.limit(MOST_TARGETS + 1).collect()}
     if len(plan) > MOST_TARGETS:
@@ -132,12 +130,17 @@ def mixed(documents: DataFrame, targets: DataFrame, key: str = "doc_id", seed: i
     number = F.xxhash64(F.lit(seed), F.col(key)).cast("decimal(20,0)") + F.lit(str(1 << 63)).cast("decimal(20,0)")
     rows = sized(documents, key, vocabulary).withColumn("number", number.cast("decimal(20,0)"))
     rows = cut_lineage(rows)  # encoded once, read by every level
-    own_rows = rows.join(F.broadcast(targets.select("source")), "source", "left_semi").groupBy("source").agg(F.sum("tokens").alias("tokens"), F.max("tokens").alias("longest")).collect()
-    sums, longest = {r.source: (r.tokens or 0) for r in own_rows}, {r.source: (r.longest or 0) for r in own_rows}
-    total = budget if budget is not None else rows.agg(F.sum("tokens")).first()[0] or 0
-    whole, goal = {}, {}
+    named = F.broadcast(targets.select(F.col("source").alias("named")).distinct())
+    # one row a named source and one for all others together
+    own_rows = rows.join(named, F.col("source") == F.col("named"), "left").groupBy("named").agg(F.sum("tokens").alias("tokens"), F.max("tokens").alias("longest")).collect()
+    sums, longest = {r.named: (r.tokens or 0) for r in own_rows}, {r.named: (r.longest or 0) for r in own_rows}
+    total = sum(sums.values()) if budget is None or budget == "attainable" else budget
+    if budget == "attainable":
+        total = min((sums[s] * repeats * 1000 // permille for s, (permille, repeats) in plan.items() if sums.get(s) and permille), default=0)
+    whole, goal, wanted_of = {}, {}, {}
     for source, (permille, repeats) in plan.items():
         wanted, own = total * permille // 1000, sums.get(source, 0)
+        wanted_of[source] = total * permille  # in thousandths, so that nothing is rounded away
         whole[source] = min(repeats, wanted // own) if own else 0
         goal[source] = wanted - whole[source] * own if own and whole[source] < repeats else 0
     # level by level: documents whose number's first bits are under below[source] are taken, if they aren't too long
@@ -176,11 +179,27 @@ def mixed(documents: DataFrame, targets: DataFrame, key: str = "doc_id", seed: i
     base = marked.select(key, "source", "tokens", (F.col("whole") + F.col("taken")).alias("copies"))
     extra = picked.select(key, "source", "tokens", F.lit(1).alias("copies"))
     out = base.unionByName(extra).groupBy(key, "source", "tokens").agg(F.sum("copies").cast("int").alias("copies"))
-    return out.filter("copies > 0")
+    return Fitted(out.filter("copies > 0"), wanted_of, {s: sums.get(s, 0) for s in plan}, {s: r for s, (_, r) in plan.items()})
+
+
+def mixed(documents: DataFrame, targets: DataFrame, key: str = "doc_id", seed: int = 2027, budget: int | str | None = None,
+          vocabulary: str | None = None) -> DataFrame:
+    """(key, source, tokens, copies) of every document in the mixture; a source gives target_permille of the budget or, if
+    it can't, all its documents max_repeats times."""
+    return fitted(documents, targets, key, seed, budget, vocabulary).mixture
+
+
+def found(documents: DataFrame, targets: DataFrame, key: str = "doc_id", vocabulary: str | None = None) -> DataFrame:
+    """(source) of the targets that the fitted mixture misses although it takes all that may be taken: every document of
+    the source as often as it may be; a source without documents is one."""
+    fit_ = fitted(documents, targets, key, vocabulary=vocabulary)
+    taken = {r.source: r.tokens for r in fit_.mixture.groupBy("source").agg(F.sum(F.col("tokens") * F.col("copies")).alias("tokens")).collect()}
+    missed = [s for s, wanted in fit_.wanted.items() if not fit_.own[s] or taken.get(s, 0) == fit_.own[s] * fit_.repeats[s] and 1000 * taken.get(s, 0) < wanted]
+    return documents.sparkSession.createDataFrame([(s,) for s in missed], "source string")
 
 
 def shares(mixture: DataFrame, targets: DataFrame) -> DataFrame:
-    """One row per target: target_permille, documents, copies and tokens in the mixture, and the share reached."""
+    """One row per target: target_permille, documents, copies and tokens in the mixture, and the share of it reached."""
     got = mixture.groupBy("source").agg(F.count("*").alias("n_docs"), F.sum("copies").cast("long").alias("n_copies"), F.sum(F.col("tokens") * F.col("copies")).alias("mix_tokens"))
     total = got.agg(F.sum("mix_tokens").alias("all_tokens"))
     zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)

@@ -116,6 +116,11 @@ def p8_shares(spark, d):
     return p08_mixing.shares(p8_mixture(spark, d), table(spark, d, "mix_targets"))
 
 
+def p8_attainable(spark, d):
+    """The shares at the largest budget that no source with documents falls short of."""
+    return p08_mixing.shares(p08_mixing.mixed(_documents(spark, d), table(spark, d, "mix_targets"), budget="attainable"), table(spark, d, "mix_targets"))
+
+
 def p9_found(spark, d):
     return p09_residue.found(_documents(spark, d))
 
@@ -128,7 +133,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         p1_found, p1_by_split, p1_links, p2_found, p2_normalized, p3_found, p3_by_system, p4_found, p4_shares, p4_ablation, p5_found, p5_consensus, p5_annotators,
-        p6_found, p6_sample, p6_report, p7_ids, p7_by_source, p8_found, p8_mixture, p8_shares, p9_found, p9_residue,
+        p6_found, p6_sample, p6_report, p7_ids, p7_by_source, p8_found, p8_mixture, p8_shares, p8_attainable, p9_found, p9_residue,
     )
 }
 _L = "lower(regexp_replace({}, '^\\s+|\\s+$', '', 'g'))"

@@ -74,3 +74,18 @@ def test_long_documents_fill_too(spark, monkeypatch, lengths, permille):
     assert len(mix) == len(taken) and all(r.copies == 1 for r in mix)
     # nothing that is left would fit
     assert 0 < got <= goal and goal - got < min(n for i, n in size.items() if i not in taken)
+
+
+def test_attainable_budget_keeps_the_shares(spark):
+    d = documents(spark)
+    t = targets(spark, [("a", 300, 2), ("b", 500, 2), ("c", 200, 1)])
+    assert m.found(d, t).count() > 0  # with the budget of all tokens someone falls short
+    rows = {r.source: r for r in m.shares(m.mixed(d, t, budget="attainable"), t).collect()}
+    assert all(abs(r.reached_permille - r.target_permille) < 15 for r in rows.values()), rows
+
+
+def test_encodes_once(spark):
+    plan = m.sized(documents(spark))._jdf.queryExecution().toString()
+    assert plan.split("== Physical Plan ==")[1].count("MapInArrow") == 1
+    got = {r.source for r in m.found(documents(spark), targets(spark, [("a", 900, 1), ("b", 10, 1), ("nobody", 90, 1)])).collect()}
+    assert got == {"a", "nobody"}
