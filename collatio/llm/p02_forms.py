@@ -13,7 +13,7 @@ worked on once, extra columns are kept (forms) or left out (found), an empty tab
 
 from __future__ import annotations
 
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -34,6 +34,7 @@ def _patterns() -> dict[str, str]:
         "safe": "^(?:" + "|".join(x if x.endswith(")") else f"{x}++" for x in chars.safe_classes()) + ")*+\\z",
         "foreign": foreign,
         "mixed": "|".join(f"[{c[a]}]{inside}*+[{c[b]}]" for a, b in pairs),
+        "hard": f"[{foreign[1:-1]}&&[^{''.join(x for a in ('greek', 'cyrillic') for x in chars.lookalikes()[a])}]]",
         **{f"not_{a}": f"[{c['latin']}&&[^{''.join(x for x in chars.lookalikes()[a].values())}]]" for a in ("greek", "cyrillic")},
         "word": f"(?:\\p{{L}}|{inside})++|[^\\p{{L}}]",
         **{k: f"[^{v}]" for k, v in c.items()},
@@ -84,11 +85,16 @@ def clean_texts(texts: DataFrame) -> DataFrame:
     table, marks = _maps(spark)
     key = F.struct(F.xxhash64("text").alias("a"), F.hash("text").alias("b"), F.length("text").alias("n"))
     distinct = texts.select("text").distinct().withColumn(_KEY, key).repartition(_KEY)
-    words = distinct.select(_KEY, F.posexplode(F.regexp_extract_all("text", F.lit(p["word"]), F.lit(0))).alias("word_pos", "word"))
+    mixes = F.col("text").rlike(p["foreign"]) & F.col("text").rlike(p["mixed"])
+    around = {f"in_{a}": F.when(mixes, _count(F.col("text"), a)) for a in ("latin", "greek", "cyrillic")}
+    words = distinct.select(_KEY, *[c.alias(k) for k, c in around.items()], F.posexplode(F.regexp_extract_all("text", F.lit(p["word"]), F.lit(0))).alias("word_pos", "word"))
     n = {a: _count(F.col("word"), a) for a in ("latin", "greek", "cyrillic")}
-    # a word belongs to its commonest alphabet, but never to one that lacks some of its Latin letters
+    # a word that can be read in Latin is Latin among Latin words; else it belongs to its commonest alphabet, but never to
+    # one that lacks some of its Latin letters
+    other = lambda a: F.col(f"in_{a}") - n[a]
     main = (
-        F.when((n["latin"] >= n["greek"]) & (n["latin"] >= n["cyrillic"]), "latin")
+        F.when(~F.col("word").rlike(p["hard"]) & (other("latin") > 0) & (other("latin") >= other("greek")) & (other("latin") >= other("cyrillic")), "latin")
+        .when((n["latin"] >= n["greek"]) & (n["latin"] >= n["cyrillic"]), "latin")
         .when(n["greek"] >= n["cyrillic"], F.when(F.col("word").rlike(p["not_greek"]), "latin").otherwise("greek"))
         .otherwise(F.when(F.col("word").rlike(p["not_cyrillic"]), "latin").otherwise("cyrillic"))
     )
@@ -130,16 +136,19 @@ def clean_texts(texts: DataFrame) -> DataFrame:
     )
 
 
-def with_forms(df: DataFrame, column: str, out: str) -> DataFrame:
-    """df with a column out: the text of column in its one form.  Texts that pass the quick check (and nulls)
-    go through as they are; only the others take part in the join, whose key is the text itself."""
-    c = F.col(f"`{column}`")
-    checked = F.coalesce(needs_work(c), F.lit(False))
-    ready = df.filter(~checked).withColumn(out, c)
-    work = cut_lineage(df.filter(checked))
-    fixed = clean_texts(work.select(c.alias("text"))).select(F.col("text").alias("__form_text"), F.col("clean").alias(out))
-    joined = work.join(fixed, F.col(f"`{column}`") == F.col("__form_text"), "left").drop("__form_text")
-    return ready.unionByName(joined)
+def with_forms(df: DataFrame, columns: dict[str, str]) -> DataFrame:
+    """df with a column for each of columns ({text column: new column}): the text in its one form.  Rows whose texts all pass
+    the quick check (and nulls) go through as they are; the others are written, and the different texts of all columns
+    among them are worked on once.  The join's key is the text itself."""
+    checked = {c: F.coalesce(needs_work(F.col(f"`{c}`")), F.lit(False)) for c in columns}
+    some = reduce(lambda a, b: a | b, checked.values())
+    ready = df.filter(~some).withColumns({out: F.col(f"`{c}`") for c, out in columns.items()})
+    work = cut_lineage(df.filter(some))
+    texts = [work.filter(checked[c]).select(F.col(f"`{c}`").alias("text")) for c in columns]
+    fixed = cut_lineage(clean_texts(reduce(DataFrame.unionByName, texts)).select(F.col("text").alias("__form_text"), F.col("clean").alias("__form_clean")))
+    for c, out in columns.items():
+        work = work.join(fixed, F.col(f"`{c}`") == F.col("__form_text"), "left").withColumn(out, F.coalesce("__form_clean", F.col(f"`{c}`"))).drop("__form_text", "__form_clean")
+    return ready.unionByName(work)
 
 
 def found(df: DataFrame, fields: tuple[str, ...] = ("reference", "prediction"), key: str = "row_id") -> DataFrame:

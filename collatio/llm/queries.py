@@ -44,8 +44,7 @@ def p2_found(spark, d):
 
 def p2_normalized(spark, d):
     df = _predictions(spark, d).select("row_id", "reference", "prediction")
-    df = p02_forms.with_forms(df, "reference", "reference_form")
-    return p02_forms.with_forms(df, "prediction", "prediction_form").select("row_id", "reference_form", "prediction_form")
+    return p02_forms.with_forms(df, {"reference": "reference_form", "prediction": "prediction_form"}).select("row_id", "reference_form", "prediction_form")
 
 
 def p3_found(spark, d):
