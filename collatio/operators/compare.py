@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from collatio.functions.align import error_rate
-from collatio.operators.sampling import hash_index
+from collatio.operators.evaluate import number_rows
 from collatio.policy import check_columns, choice
+from collatio.sources import cut_lineage
 
 
 def _keys(unit: str, pair_id: Sequence[str]) -> list[str]:
@@ -65,37 +69,153 @@ def _check(n_boot: int, conf_level: float) -> None:
         raise ValueError("conf_level must lie between 0 and 1")
 
 
+def require_pairs(x: DataFrame, groups: Sequence[str], member: str, keys: Sequence[str], unpaired: str = "raise") -> None:
+    """Raise unless every member (a system, a condition) of a group has each observation once, with one reference text and
+    length, and, unless unpaired is "drop", all members have the same observations.  Nulls are values of the key."""
+    choice("unpaired", unpaired, ("raise", "drop"))
+    text = F.col("reference") if "reference" in x.columns else F.lit(None).cast("string")
+    seen = x.groupBy(*groups, *keys).agg(
+        F.count("*").alias("n"), F.countDistinct(member).alias("members"), F.min(F.coalesce(text, F.lit(""))).alias("t0"), F.max(F.coalesce(text, F.lit(""))).alias("t1"),
+        F.count(text).alias("texts"), F.min("n_reference").alias("l0"), F.max("n_reference").alias("l1"),
+    )
+    bad = {
+        "a member has several rows for the same pair": F.col("n") > F.col("members"),
+        "reference texts differ within a pair": (F.col("t0") != F.col("t1")) | ((F.col("texts") > 0) & (F.col("texts") < F.col("n"))),
+        "reference lengths differ within a pair": F.col("l0") != F.col("l1"),
+    }
+    if unpaired == "raise":
+        sizes = x.groupBy(*groups).agg(F.countDistinct(member).alias("all_members"))
+        on = F.lit(True)
+        sizes = sizes.withColumnsRenamed({g: f"__{g}" for g in groups})
+        for g in groups:
+            on &= F.col(g).eqNullSafe(F.col(f"__{g}"))
+        seen = seen.join(sizes, on)
+        bad["not all members have the same pairs"] = F.col("members") != F.col("all_members")
+    for message, n in seen.agg(*[F.count(F.when(c, 1)).alias(m) for m, c in bad.items()]).first().asDict().items():
+        if n:
+            raise ValueError(f"{message} ({n} pairs)")
+
+
+#: Rows of units that the driver collects and sends to the tasks (six numbers each, 24 MB); with more, units and draws meet in a join.
+MOST_UNITS = 500_000
+#: Draws that a task holds at a time.
+DRAWS = 2_000_000
+# Multipliers of the draws' hash, all below 2 ** 32 so that 64 bits hold each product.
+OF_SEED, OF_REP, MIX_A, MIX_B = 0x9E3779B1, 0x85EBCA77, 0x21F0AAAD, 0x735A2D97
+_LOW = 0xFFFFFFFF
+
+
+def _mix(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint32(16))) * np.uint32(MIX_A)
+    h = (h ^ (h >> np.uint32(15))) * np.uint32(MIX_B)
+    return h ^ (h >> np.uint32(15))
+
+
+def draw_numbers(seed: int, reps: np.ndarray, n: int) -> np.ndarray:
+    """(rep, slot) unit numbers from 0 to n - 1: hash(seed, rep, slot) % n."""
+    base = _mix(((seed * OF_SEED + reps.astype(np.uint64) * np.uint64(OF_REP)) & np.uint64(_LOW)).astype(np.uint32))
+    return _mix(base[:, None] ^ np.arange(1, n + 1, dtype=np.uint32)[None, :]) % np.uint32(n)
+
+
+def _mix_column(h: Column) -> Column:
+    h = (h.bitwiseXOR(F.shiftright(h, 16)) * F.lit(MIX_A)).bitwiseAND(F.lit(_LOW))
+    h = (h.bitwiseXOR(F.shiftright(h, 15)) * F.lit(MIX_B)).bitwiseAND(F.lit(_LOW))
+    return h.bitwiseXOR(F.shiftright(h, 15))
+
+
+def _rates(units: np.ndarray, estimand: str) -> np.ndarray:
+    """Of (ref_a, ins_a, dist_a, ref_b, ins_b, dist_b): what is summed over drawn units."""
+    if estimand == "micro":
+        return units
+    ref, ins, dist = units[:, [0, 3]], units[:, [1, 4]], units[:, [2, 5]]
+    return np.where(ref == 0, ins, dist / np.where(ref == 0, 1, ref))
+
+
+def _replicates(units: DataFrame, groups: list[str], parts: list[str], estimand: str, n_boot: int, seed: int) -> DataFrame | None:
+    """(groups..., d): the difference in each replicate; None if there are too many units.
+
+    The units' sums go to the tasks, each of which draws some replicates for all groups: groups of one size share their
+    draws, whose counts times the sums are one matrix product.  No draw is ever a row."""
+    spark = units.sparkSession
+    few = units.select(*groups, "__unit", *parts).limit(MOST_UNITS + 1).toPandas()
+    if len(few) > MOST_UNITS:
+        return None
+    few = few.assign(__null=few["__unit"].notna()).sort_values(["__null", "__unit"], kind="stable")
+    by_size: dict[int, list[tuple[int, np.ndarray]]] = {}
+    names = []
+    for name, rows in few.groupby(groups, dropna=False, sort=True):
+        by_size.setdefault(len(rows), []).append((len(names), _rates(rows[parts].to_numpy(dtype=float), estimand)))
+        names.append(tuple(None if x is None or x != x else x for x in name))
+    sums = spark.sparkContext.broadcast({n: ([i for i, _ in x], np.concatenate([y for _, y in x], axis=1)) for n, x in by_size.items()})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            reps = b.column(0).to_numpy()
+            for n, (ids, s) in sums.value.items():
+                step = max(1, DRAWS // n)
+                for k in range(0, len(reps), step):
+                    some = reps[k : k + step]
+                    at = draw_numbers(seed, some, n).astype(np.int64) + np.arange(len(some))[:, None] * n
+                    drawn = np.bincount(at.ravel(), minlength=len(some) * n).reshape(len(some), n) @ s
+                    drawn = drawn.reshape(len(some), len(ids), -1)
+                    if estimand == "macro":
+                        d = (drawn[:, :, 1] - drawn[:, :, 0]) / n
+                    else:
+                        side = lambda i, x=drawn: np.where(x[:, :, i] == 0, x[:, :, i + 1], x[:, :, i + 2] / np.where(x[:, :, i] == 0, 1, x[:, :, i]))
+                        d = side(3) - side(0)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.tile(ids, len(some)), pa.int32()), pa.array(d.ravel())], names=["__g", "d"])
+
+    tasks = max(1, min(n_boot, spark.sparkContext.defaultParallelism))
+    d = spark.range(1, n_boot + 1, numPartitions=tasks).mapInArrow(run, "__g int, d double")
+    fields = [units.schema[g] for g in groups]
+    table = spark.createDataFrame([(i, *name) for i, name in enumerate(names)], StructType([StructField("__g", IntegerType()), *fields]))
+    return d.join(F.broadcast(table), "__g").drop("__g")
+
+
+def _joined_replicates(units: DataFrame, groups: list[str], parts: list[str], estimand: str, n_boot: int, seed: int) -> DataFrame:
+    """_replicates() for any number of units: they are numbered by range, no task sorts them all, and joined to the counted
+    draws of their number."""
+    placed = number_rows(units, [*groups, "__unit"], "__place")
+    ends = placed.groupBy(*groups).agg(F.min("__place").alias("__from"), F.count("*").alias("n_units")).withColumnsRenamed({g: f"__{g}" for g in groups})
+    on = F.lit(True)
+    for g in groups:
+        on &= F.col(g).eqNullSafe(F.col(f"__{g}"))
+    placed = placed.join(F.broadcast(ends), on).withColumn("__at", F.col("__place") - F.col("__from"))
+    draws = ends.select("n_units").distinct().withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(n_boot)))).repartition("n_units", "rep")
+    base = _mix_column((F.lit(seed * OF_SEED) + F.col("rep").cast("long") * F.lit(OF_REP)).bitwiseAND(F.lit(_LOW)))
+    draws = draws.withColumn("base", base).withColumn("slot", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n_units"))))
+    draws = draws.select("n_units", "rep", (_mix_column(F.col("base").bitwiseXOR(F.col("slot"))) % F.col("n_units")).alias("__at")).groupBy("n_units", "rep", "__at").agg(F.count("*").alias("times"))
+    boot = placed.select(*groups, "n_units", "__at", *parts).join(draws, ["n_units", "__at"])
+    w = F.col("times")
+    return boot.groupBy(*groups, "rep").agg((_rate("b", estimand, w) - _rate("a", estimand, w)).alias("d"))
+
+
+def _rate(side: str, estimand: str, weight: Column | None = None) -> Column:
+    one = error_rate(f"dist_{side}", f"ref_{side}", f"ins_{side}")
+    w = weight if weight is not None else F.lit(1)
+    if estimand == "macro":
+        return F.sum(one * w) / F.sum(w)
+    s = {c: F.sum(F.col(f"{c}_{side}") * w) for c in ("ref", "ins", "dist")}
+    return F.when(s["ref"] == 0, s["ins"].cast("double")).otherwise(s["dist"].cast("double") / s["ref"])
+
+
 def _estimates(units: DataFrame, groups: list[str], estimand: str, n_boot: int, conf_level: float, seed: int) -> DataFrame:
     """units: groups..., unit, and ref, ins, dist of each side (_a, _b), one row a unit.  Adds the estimates and the
     percentile interval of a bootstrap over units, whose draws are the same for both sides.
 
-    Draw `slot` of replicate `rep` is unit number hash(seed, rep, slot) % n_units, in the order of the units' names.
-    The draws depend on the number of units only; they are counted once for each number (rep, unit, times), and a
-    comparison joins its units to these counts."""
+    Draw `slot` of replicate `rep` is unit number hash(seed, rep, slot) % n_units, in the order of the units' names."""
     parts = [f"{c}_{s}" for s in "ab" for c in ("ref", "ins", "dist")]
-
-    def rate(side: str, weight: Column | None = None) -> Column:
-        one = error_rate(f"dist_{side}", f"ref_{side}", f"ins_{side}")
-        w = weight if weight is not None else F.lit(1)
-        if estimand == "macro":
-            return F.sum(one * w) / F.sum(w)
-        s = {c: F.sum(F.col(f"{c}_{side}") * w) for c in ("ref", "ins", "dist")}
-        return F.when(s["ref"] == 0, s["ins"].cast("double")).otherwise(s["dist"].cast("double") / s["ref"])
-
-    point = units.groupBy(*groups).agg(rate("a").alias("estimate_a"), rate("b").alias("estimate_b"), F.count("*").alias("n_units"))
-    at = F.row_number().over(Window.partitionBy(*groups).orderBy("__unit")) - 1
-    placed = units.withColumn("__at", at).join(point.select(*groups, "n_units"), groups)
-    sizes = point.select("n_units").distinct()
-    draws = sizes.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(n_boot)))).repartition("n_units", "rep")
-    draws = draws.withColumn("slot", F.explode(F.sequence(F.lit(1), F.col("n_units"))))
-    draws = draws.withColumn("__at", hash_index(F.col("n_units"), seed, "rep", "slot").cast("int"))
-    draws = draws.groupBy("n_units", "rep", "__at").agg(F.count("*").alias("times"))
-    boot = placed.select(*groups, "n_units", "__at", *parts).join(draws, ["n_units", "__at"])
-    w = F.col("times")
-    boot = boot.groupBy(*groups, "rep").agg((rate("b", weight=w) - rate("a", weight=w)).alias("d"))
+    units = cut_lineage(units)  # read for the estimates and for the draws
+    point = units.groupBy(*groups).agg(_rate("a", estimand).alias("estimate_a"), _rate("b", estimand).alias("estimate_b"), F.count("*").alias("n_units"))
+    boot = _replicates(units, groups, parts, estimand, n_boot, seed)
+    if boot is None:
+        boot = _joined_replicates(units, groups, parts, estimand, n_boot, seed)
     low = (1 - conf_level) / 2
-    ends = boot.groupBy(*groups).agg(F.percentile("d", F.array(F.lit(low), F.lit(1 - low))).alias("e"))
-    return point.join(ends, groups, "left").select(
+    ends = boot.groupBy(*[F.col(g).alias(f"__{g}") for g in groups]).agg(F.percentile("d", F.array(F.lit(low), F.lit(1 - low))).alias("e"))
+    on = F.lit(True)
+    for g in groups:
+        on &= F.col(g).eqNullSafe(F.col(f"__{g}"))
+    return point.join(ends, on, "left").select(
         *groups, "estimate_a", "estimate_b", (F.col("estimate_b") - F.col("estimate_a")).alias("difference_b_minus_a"),
         F.col("e")[0].alias("conf_low"), F.col("e")[1].alias("conf_high"), F.lit(conf_level).alias("conf_level"), "n_units", F.lit(n_boot).alias("n_boot"),
     )
@@ -124,18 +244,24 @@ def compare_systems(
 
 def compare_all_pairs(
     x: DataFrame, unit: str = "document_id", pair_id: Sequence[str] = "line_id", system_col: str = "system", estimand: str = "macro",
-    n_boot: int = 5000, conf_level: float = 0.95, seed: int = 2027, metric: str | None = None,
+    n_boot: int = 5000, conf_level: float = 0.95, seed: int = 2027, metric: str | None = None, unpaired: str = "raise",
 ) -> DataFrame:
-    """compare_systems of every pair of systems in one plan, each over the observations that both have."""
+    """compare_systems of every pair of systems in one plan, under the same conditions: no system has an observation twice,
+    references agree, and all systems have the same observations; with unpaired="drop" each pair is compared over the
+    observations that both have.  Nulls in the key and the unit are values."""
     _check(n_boot, conf_level)
     choice("estimand", estimand, ("macro", "micro"))
     keys = _keys(unit, pair_id)
-    rows = x if metric is None else x.filter(F.col("metric") == metric)
-    cols = [system_col, "metric", *keys, "n_reference", "insertions", "distance"]
-    left = rows.select(*cols).withColumnsRenamed({system_col: "system_a", "n_reference": "ref_a", "insertions": "ins_a", "distance": "dist_a"})
-    right = rows.select(*cols).withColumnsRenamed({system_col: "system_b", "n_reference": "ref_b", "insertions": "ins_b", "distance": "dist_b"})
-    both = left.join(right, ["metric", *keys]).filter("system_a < system_b")
+    check_columns(x.columns, *keys, system_col, "metric", "n_reference", "insertions", "distance")
+    rows = (x if metric is None else x.filter(F.col("metric") == metric)).filter(F.col(system_col).isNotNull())
+    require_pairs(rows, ["metric"], system_col, keys, unpaired)
+    cols = ["metric", *keys, F.col(system_col).alias("system"), F.col("n_reference").alias("ref"), F.col("insertions").alias("ins"), F.col("distance").alias("dist")]
+    left, right = (rows.select(*cols).withColumnsRenamed({c: f"{c}_{s}" for c in ("system", "ref", "ins", "dist")}) for s in "ab")
+    right = right.withColumnsRenamed({k: f"__{k}" for k in ("metric", *keys)})
+    on = F.col("system_a") < F.col("system_b")
+    for k in ("metric", *keys):
+        on &= F.col(k).eqNullSafe(F.col(f"__{k}"))
     groups = ["metric", "system_a", "system_b"]
-    units = both.groupBy(*groups, F.col(unit).alias("__unit")).agg(*[F.sum(f"{c}_{s}").cast("long").alias(f"{c}_{s}") for s in "ab" for c in ("ref", "ins", "dist")])
+    units = left.join(right, on).groupBy(*groups, F.col(unit).alias("__unit")).agg(*[F.sum(f"{c}_{s}").cast("long").alias(f"{c}_{s}") for s in "ab" for c in ("ref", "ins", "dist")])
     out = _estimates(units, groups, estimand, n_boot, conf_level, seed)
     return out.select(*groups, F.lit(estimand).alias("estimand"), *out.columns[3:])

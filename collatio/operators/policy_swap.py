@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from collatio.functions.align import output_distance
-from collatio.operators.compare import _check, _estimates
+from collatio.operators.compare import _check, _estimates, require_pairs
 from collatio.policy import check_columns
 
 #: Rates that differ by less are the same.
@@ -52,25 +52,32 @@ def condition_conflicts(x: DataFrame, model_col: str = "model", condition_col: s
     return counted.withColumn("__several", several).filter("n_systems > 1 and __several > 1").drop("__several")
 
 
-def _pairs(x: DataFrame, metric: str, model_col: str, condition_col: str, system_col: str, keys: list[str], order: str | None) -> DataFrame:
+def _pairs(x: DataFrame, metric: str, model_col: str, condition_col: str, system_col: str, keys: list[str], order: str | None, unpaired: str) -> DataFrame:
     """One row for each line and pair of conditions of a model; a before b by first appearance (the least value of
-    order, else by name)."""
+    order, else by name).  A line that a condition has twice, and references that differ, raise; so does, unless
+    unpaired is "drop", a line that some condition of the model lacks."""
     check_columns(x.columns, model_col, condition_col, system_col, *keys, "metric", "prediction", "rate", "distance", "n_reference", "insertions", order)
     rows = x.filter((F.col("metric") == metric) & (F.trim(F.col(model_col)) != "") & F.col(condition_col).isNotNull())
     rank = rows.groupBy(F.col(model_col).alias("model"), F.col(condition_col).alias("condition")).agg(F.min(order or condition_col).alias("first"))
+    # models with one condition have no pairs and needn't be in order
+    several = rank.groupBy(F.col("model").alias(model_col)).count().filter("count > 1").select(model_col)
+    rows = rows.join(F.broadcast(several), model_col, "left_semi")
+    require_pairs(rows, [model_col], condition_col, keys, unpaired)
     side = lambda s: rows.select(
         F.col(model_col).alias("model"), *keys, F.col(condition_col).alias(f"condition_{s}"), F.col(system_col).alias(f"system_{s}"), F.col("prediction").alias(f"prediction_{s}"),
         F.col("rate").alias(f"rate_{s}"), F.col("n_reference").alias(f"ref_{s}"), F.col("insertions").alias(f"ins_{s}"), F.col("distance").alias(f"dist_{s}"), *([F.col("reference")] if s == "a" and "reference" in x.columns else []),
-    ).join(rank.select("model", F.col("condition").alias(f"condition_{s}"), F.col("first").alias(f"first_{s}")), ["model", f"condition_{s}"])
-    keyed = ["model", *keys]
-    both = side("a").join(side("b"), keyed)
+    ).join(F.broadcast(rank.select("model", F.col("condition").alias(f"condition_{s}"), F.col("first").alias(f"first_{s}"))), ["model", f"condition_{s}"])
+    right = side("b").withColumnsRenamed({k: f"__{k}" for k in ("model", *keys)})
+    on = F.col("model") == F.col("__model")
+    for k in keys:
+        on &= F.col(k).eqNullSafe(F.col(f"__{k}"))
     before = (F.col("first_a") < F.col("first_b")) | ((F.col("first_a") == F.col("first_b")) & (F.col("condition_a") < F.col("condition_b")))
-    return both.filter(before)
+    return side("a").join(right, on & before).drop("__model", *[f"__{k}" for k in keys])
 
 
 def policy_swap_summary(
     x: DataFrame, model_col: str = "model", condition_col: str = "prompt_condition", system_col: str = "system", pair_id: str = "line_id",
-    unit: str = "document_id", metric: str = "cer", n_boot: int = 2000, conf_level: float = 0.95, seed: int = 2027, order: str | None = None,
+    unit: str = "document_id", metric: str = "cer", n_boot: int = 2000, conf_level: float = 0.95, seed: int = 2027, order: str | None = None, unpaired: str = "raise",
 ) -> DataFrame:
     """One row for each model and pair of its conditions (models with one condition have none): how often and how far
     outputs change, how lines get better or worse, and the paired macro difference with its interval."""
@@ -79,7 +86,7 @@ def policy_swap_summary(
         raise ValueError("a model's condition stands for several systems")
     keys = list(dict.fromkeys([unit, pair_id]))
     groups = ["model", "condition_a", "condition_b", "system_a", "system_b"]
-    pairs = _pairs(x, metric, model_col, condition_col, system_col, keys, order)
+    pairs = _pairs(x, metric, model_col, condition_col, system_col, keys, order, unpaired)
     pairs = pairs.withColumn("delta", F.col("rate_b") - F.col("rate_a"))
     far = pairs.select("*", F.inline(F.array(F.struct(output_distance("prediction_a", "prediction_b").alias("far")))))
     share = lambda c: F.avg(c.cast("double"))
@@ -100,10 +107,10 @@ def policy_swap_summary(
 
 def changed_outputs(
     x: DataFrame, metric: str = "cer", model_col: str = "model", condition_col: str = "prompt_condition", system_col: str = "system",
-    pair_id: str = "line_id", unit: str = "document_id", order: str | None = None,
+    pair_id: str = "line_id", unit: str = "document_id", order: str | None = None, unpaired: str = "raise",
 ) -> DataFrame:
     """The lines whose prediction differs between two conditions of a model, with both rates and their difference."""
-    pairs = _pairs(x, metric, model_col, condition_col, system_col, list(dict.fromkeys([unit, pair_id])), order)
+    pairs = _pairs(x, metric, model_col, condition_col, system_col, list(dict.fromkeys([unit, pair_id])), order, unpaired)
     return pairs.filter("prediction_a <> prediction_b").select(
         "model", "condition_a", "condition_b", "system_a", "system_b", unit, pair_id, "reference", "prediction_a", "prediction_b",
         F.col("rate_a").alias("target_rate_a"), F.col("rate_b").alias("target_rate_b"), (F.col("rate_b") - F.col("rate_a")).alias("target_delta_b_minus_a"),

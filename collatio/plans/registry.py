@@ -25,7 +25,7 @@ RELAXED = EvalPolicy(whitespace="collapse", punctuation="remove")
 CODEPOINT = EvalPolicy(unicode="none", char_unit="codepoint")
 KEEP = ["document_id", "language", "script_type", "subcorpus"]
 PAIR = ("scriba3b_neutral", "scriba3b_catmus")
-N_BOOT, SEED = 1000, 2027
+N_BOOT, ALL_PAIRS_BOOT, SEED = 2000, 5000, 2027
 
 
 def query(oracle: str | None = None):
@@ -187,15 +187,28 @@ def compare_micro(spark, d):
 
 _ALL_PAIRS = """units AS (SELECT a.metric, a.system AS system_a, b.system AS system_b, a.document_id AS u, sum(a.n_reference) AS ref_a, sum(a.insertions) AS ins_a, sum(a.distance) AS dist_a,
     sum(b.n_reference) AS ref_b, sum(b.insertions) AS ins_b, sum(b.distance) AS dist_b
-  FROM eval a JOIN eval b ON a.metric = b.metric AND a.line_id = b.line_id AND a.document_id = b.document_id AND a.system < b.system GROUP BY ALL)"""
+  FROM eval a JOIN eval b ON a.metric = b.metric AND a.line_id = b.line_id AND a.document_id IS NOT DISTINCT FROM b.document_id AND a.system < b.system GROUP BY ALL)"""
 
 
-@query(_with(sql.RECOG, sql.evaluated(metrics=("wer",)), _ALL_PAIRS, sql.boot("units", "metric, system_a, system_b", "macro", 200, SEED)) + """SELECT metric, system_a, system_b, 'macro' AS estimand,
+def _all_pairs_sql(estimand: str) -> str:
+    return _with(sql.RECOG, sql.evaluated(), _ALL_PAIRS, sql.boot("units", "metric, system_a, system_b", estimand, ALL_PAIRS_BOOT, SEED)) + f"""SELECT metric, system_a, system_b, '{estimand}' AS estimand,
   round(estimate_a, 9) AS estimate_a, round(estimate_b, 9) AS estimate_b, round(estimate_b - estimate_a, 9) AS difference_b_minus_a, round(conf_low, 9) AS conf_low, round(conf_high, 9) AS conf_high,
-  0.95::DOUBLE AS conf_level, n_units, 200 AS n_boot FROM point JOIN ends USING (metric, system_a, system_b)""")
+  0.95::DOUBLE AS conf_level, n_units, {ALL_PAIRS_BOOT} AS n_boot FROM point JOIN ends USING (metric, system_a, system_b)"""
+
+
+def _all_pairs(spark, d, estimand):
+    x = evaluation(spark, d, keep=["document_id"], once=True)
+    return _rounded(compare.compare_all_pairs(x, estimand=estimand, n_boot=ALL_PAIRS_BOOT, seed=SEED, unpaired="drop"), *_ESTIMATES)
+
+
+@query(_all_pairs_sql("macro"))
 def compare_all_pairs(spark, d):
-    x = evaluation(spark, d, ["wer"], keep=["document_id"], once=True)
-    return _rounded(compare.compare_all_pairs(x, n_boot=200, seed=SEED), *_ESTIMATES)
+    return _all_pairs(spark, d, "macro")
+
+
+@query(_all_pairs_sql("micro"))
+def compare_all_pairs_micro(spark, d):
+    return _all_pairs(spark, d, "micro")
 
 
 _VIOLATIONS = f"""pairs AS (SELECT row_id, line_id, document_id, system, reference, length(reference) AS n_reference FROM {PREDICTIONS} WHERE system IN {PAIR} AND reference IS NOT NULL),
@@ -221,7 +234,7 @@ _SWAP = """mod AS (SELECT e.*, m.model, m.prompt_condition FROM eval e LEFT JOIN
   swaps AS (SELECT a.model, a.prompt_condition AS condition_a, b.prompt_condition AS condition_b, a.system AS system_a, b.system AS system_b, a.document_id, a.line_id, a.reference AS ref_text,
     a.prediction AS prediction_a, b.prediction AS prediction_b, a.rate AS rate_a, b.rate AS rate_b, a.n_reference AS ref_a, b.n_reference AS ref_b, a.insertions AS ins_a, b.insertions AS ins_b,
     a.distance AS dist_a, b.distance AS dist_b
-    FROM mod a JOIN mod b ON a.model = b.model AND a.line_id = b.line_id AND a.document_id = b.document_id AND a.metric = b.metric AND a.prompt_condition < b.prompt_condition WHERE trim(a.model) <> '')"""
+    FROM mod a JOIN mod b ON a.model = b.model AND a.line_id = b.line_id AND a.document_id IS NOT DISTINCT FROM b.document_id AND a.metric = b.metric AND a.prompt_condition < b.prompt_condition WHERE trim(a.model) <> '')"""
 _FAR = "outs AS (SELECT DISTINCT prediction_a AS reference, prediction_b AS prediction FROM swaps),\n" + sql.counts("far", "outs", STRICT, "grapheme")
 _GROUPS = "model, condition_a, condition_b, system_a, system_b"
 
@@ -236,7 +249,7 @@ _GROUPS = "model, condition_a, condition_b, system_a, system_b"
   round(unchanged_target_error, 9) AS unchanged_target_error, round(mean_line_delta_b_minus_a, 9) AS mean_line_delta_b_minus_a, round(estimate_b - estimate_a, 9) AS target_difference_b_minus_a,
   round(conf_low, 9) AS conf_low, round(conf_high, 9) AS conf_high, 0.95::DOUBLE AS conf_level, n_units FROM per_line JOIN point USING ({_GROUPS}) JOIN ends USING ({_GROUPS})""")
 def policy_swaps(spark, d):
-    out = policy_swap.policy_swap_summary(_with_models(spark, d), n_boot=N_BOOT, seed=SEED)
+    out = policy_swap.policy_swap_summary(_with_models(spark, d), n_boot=N_BOOT, seed=SEED, unpaired="drop")
     return _rounded(out, "output_change_rate", "mean_output_distance", "median_output_distance", "improved_toward_target", "worsened_from_target", "unchanged_target_error",
                     "mean_line_delta_b_minus_a", "target_difference_b_minus_a", "conf_low", "conf_high")
 
@@ -246,7 +259,7 @@ _CHANGED = "changed AS (SELECT model, condition_a, condition_b, system_a, system
 
 @query(_with(sql.RECOG, sql.evaluated(metrics=("cer",)), _SWAP, _CHANGED) + "SELECT * FROM changed")
 def changed_outputs(spark, d):
-    return _rounded(policy_swap.changed_outputs(_with_models(spark, d)), "target_delta_b_minus_a")
+    return _rounded(policy_swap.changed_outputs(_with_models(spark, d), unpaired="drop"), "target_delta_b_minus_a")
 
 
 @query(_with(sql.RECOG, "outs AS (SELECT a.line_id, a.system AS system_a, b.system AS system_b, a.prediction AS reference, b.prediction FROM recog a JOIN recog b ON a.line_id = b.line_id AND a.system = '" + PAIR[0] + "' AND b.system = '" + PAIR[1] + "')",
@@ -346,7 +359,7 @@ _PREF = f"""ph AS (SELECT *, {_hash(SEED, 'model', 'condition_a', 'condition_b',
 
 
 def _preferences(spark, d):
-    changed = _rounded(policy_swap.changed_outputs(_with_models(spark, d)), "target_delta_b_minus_a")
+    changed = _rounded(policy_swap.changed_outputs(_with_models(spark, d), unpaired="drop"), "target_delta_b_minus_a")
     return preferences.prepare_preference_batch(changed, 300, SEED)
 
 
@@ -458,7 +471,7 @@ def error_profile_plot(spark, d):
     return out.withColumn("rate", F.round("rate", 7))
 
 
-@query(_compare_sql("macro").replace("SELECT metric, '", f"SELECT '{PAIR[1]} - {PAIR[0]}' AS comparison, metric, '").replace("0.95::DOUBLE AS conf_level, n_units, 1000 AS n_boot FROM", "1 AS one FROM")
+@query(_compare_sql("macro").replace("SELECT metric, '", f"SELECT '{PAIR[1]} - {PAIR[0]}' AS comparison, metric, '").replace("0.95::DOUBLE AS conf_level, n_units, 2000 AS n_boot FROM", "1 AS one FROM")
        .replace(f"'{PAIR[0]}' AS system_a, '{PAIR[1]}' AS system_b, 'macro' AS estimand, round(estimate_a, 9) AS estimate_a, round(estimate_b, 9) AS estimate_b, round(estimate_b - estimate_a, 9) AS difference_b_minus_a, round(conf_low, 9) AS conf_low, round(conf_high, 9) AS conf_high, 1 AS one",
                 "round(100 * (estimate_b - estimate_a), 7) AS difference_plot, round(100 * conf_low, 7) AS conf_low_plot, round(100 * conf_high, 7) AS conf_high_plot"))
 def comparison_plot(spark, d):

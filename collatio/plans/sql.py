@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collatio.operators.compare import _LOW, MIX_A, MIX_B, OF_REP, OF_SEED
 from collatio.policy import EvalPolicy
 
 SPACE = r"[\s\x{0085}\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
@@ -75,6 +76,13 @@ SUMS = ", ".join(f"sum({c})::BIGINT AS {c}" for c in ("n_reference", "n_hypothes
 POOLED = RATE.format(n="sum(n_reference)", i="sum(insertions)", dist="sum(distance)")
 
 
+def mix(x: str, name: str) -> str:
+    """Columns that end in name: the draws' hash of the expression x."""
+    return (
+        f"{x} AS {name}0, (xor({name}0, {name}0 >> 16) * {MIX_A}) & {_LOW} AS {name}1, (xor({name}1, {name}1 >> 15) * {MIX_B}) & {_LOW} AS {name}2, xor({name}2, {name}2 >> 15) AS {name}"
+    )
+
+
 def boot(units: str, groups: str, estimand: str, n_boot: int, seed: int, level: float = 0.95) -> str:
     """CTEs that end in point and ends, from units(groups, u, ref_a, ins_a, dist_a, ref_b, ins_b, dist_b)."""
     one = lambda s: f"(CASE WHEN ref_{s} = 0 THEN ins_{s}::DOUBLE ELSE dist_{s}::DOUBLE / ref_{s} END)"
@@ -86,7 +94,7 @@ def boot(units: str, groups: str, estimand: str, n_boot: int, seed: int, level:
     low, high = (1 - level) / 2, 1 - (1 - level) / 2
     return f"""placed AS (SELECT *, row_number() OVER (PARTITION BY {groups} ORDER BY u NULLS FIRST) - 1 AS pos, count(*) OVER (PARTITION BY {groups}) AS n_units FROM {units}),
   point AS (SELECT {groups}, {est['a']} AS estimate_a, {est['b']} AS estimate_b, count(*) AS n_units FROM placed GROUP BY ALL),
-  draws AS (SELECT n_units, rep, ('0x' || substr(md5(concat_ws('|', '{seed}', rep::VARCHAR, slot::VARCHAR)), 1, 8))::BIGINT % n_units AS pos, count(*) AS times
-    FROM (SELECT n_units, rep, unnest(range(1, n_units + 1)) AS slot FROM (SELECT n_units, unnest(range(1, {n_boot} + 1)) AS rep FROM (SELECT DISTINCT n_units FROM point))) GROUP BY ALL),
+  bases AS (SELECT n_units, rep, {mix(f'({seed * OF_SEED} + rep * {OF_REP}) & {_LOW}', 'base')} FROM (SELECT n_units, unnest(range(1, {n_boot} + 1)) AS rep FROM (SELECT DISTINCT n_units FROM point))),
+  draws AS (SELECT n_units, rep, h % n_units AS pos, count(*) AS times FROM (SELECT n_units, rep, {mix('xor(base, slot)', 'h')} FROM (SELECT n_units, rep, base, unnest(range(1, n_units + 1)) AS slot FROM bases)) GROUP BY ALL),
   reps AS (SELECT {', '.join('placed.' + g.strip() for g in groups.split(','))}, rep, ({draw['b']}) - ({draw['a']}) AS d FROM placed JOIN draws USING (n_units, pos) GROUP BY ALL),
   ends AS (SELECT {groups}, quantile_cont(d, {low}) AS conf_low, quantile_cont(d, {high}) AS conf_high FROM reps GROUP BY {groups})"""

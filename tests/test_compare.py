@@ -1,7 +1,6 @@
-import hashlib
-
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from collatio.operators import compare, policy_swap
 from collatio.operators.evaluate import evaluate_recognition
@@ -17,11 +16,17 @@ def paired(spark):
     return rows(spark, [("d1", "1", "A", "x", 4, 2), ("d1", "2", "A", "y", 4, 0), ("d2", "1", "A", "z", 4, 1), ("d1", "1", "B", "x", 4, 0), ("d1", "2", "B", "y", 4, 1), ("d2", "1", "B", "z", 4, 0)])
 
 
+def mixed(h):
+    h = (h ^ h >> 16) * compare.MIX_A % 2**32
+    h = (h ^ h >> 15) * compare.MIX_B % 2**32
+    return h ^ h >> 15
+
+
 def test_macro_and_interval(spark):
     r = compare.compare_systems(paired(spark), ("A", "B"), n_boot=300, seed=5).first()
     assert (r.estimate_a, r.estimate_b, r.n_units) == (0.25, 0.0625, 2)
     assert r.conf_low <= r.difference_b_minus_a <= r.conf_high
-    index = lambda rep, slot: int(hashlib.md5(f"5|{rep}|{slot}".encode()).hexdigest()[:8], 16) % 2
+    index = lambda rep, slot: mixed(mixed((5 * compare.OF_SEED + rep * compare.OF_REP) % 2**32) ^ slot) % 2
     delta = np.array([0.125 - 0.25, 0 - 0.25])
     draws = [np.mean([delta[index(rep, s)] for s in (1, 2)]) for rep in range(1, 301)]
     assert r.conf_low == pytest.approx(np.quantile(draws, 0.025)) and r.conf_high == pytest.approx(np.quantile(draws, 0.975))
@@ -36,6 +41,41 @@ def test_all_pairs_is_compare_systems(spark):
     assert a == b
 
 
+def random_rows(spark, seed=4):
+    rng = np.random.default_rng(seed)
+    units = [None, "d1", "d2", "d3", "é", "z"]
+    data = [(units[i % 6], str(i), s, f"r{i}", int(5 + i % 4), int(rng.integers(0, 5))) for i in range(40) for s in "ABC"]
+    return rows(spark, data)
+
+
+@pytest.mark.parametrize("estimand", ["macro", "micro"])
+def test_all_pairs_with_null_units(spark, estimand, monkeypatch):
+    x = random_rows(spark)
+    got = {(r.system_a, r.system_b): r.asDict() for r in compare.compare_all_pairs(x, estimand=estimand, n_boot=200, seed=3).collect()}
+    assert len(got) == 3
+    for pair, r in got.items():
+        one = compare.compare_systems(x, pair, estimand=estimand, n_boot=200, seed=3).first().asDict()
+        assert r.keys() == one.keys() and all(r[k] == pytest.approx(one[k], abs=1e-12) for k in r) and r["n_units"] == 6
+    # more units than may be sent to the tasks: the same draws meet them in a join
+    monkeypatch.setattr(compare, "MOST_UNITS", 3)
+    for r in compare.compare_all_pairs(x, estimand=estimand, n_boot=200, seed=3).collect():
+        assert all(v == pytest.approx(got[r.system_a, r.system_b][k], abs=1e-12) for k, v in r.asDict().items())
+
+
+def test_all_pairs_are_strict(spark):
+    x = random_rows(spark)
+    first = x.limit(1)
+    with pytest.raises(ValueError, match="several rows"):
+        compare.compare_all_pairs(x.unionByName(first), n_boot=5)
+    less = x.filter("not (line_id = '3' and system = 'B')")
+    with pytest.raises(ValueError, match="same pairs"):
+        compare.compare_all_pairs(less, n_boot=5)
+    assert {(r.system_a, r.system_b) for r in compare.compare_all_pairs(less, n_boot=5, unpaired="drop").collect()} == {("A", "B"), ("A", "C"), ("B", "C")}
+    with pytest.raises(ValueError, match="texts differ"):
+        compare.compare_all_pairs(x.withColumn("reference", F.concat("reference", F.when(F.col("system") == "C", "!").otherwise(""))), n_boot=5)
+    assert compare.compare_all_pairs(x.limit(0), n_boot=5).count() == 0
+
+
 @pytest.mark.parametrize(
     ("extra", "message"),
     [
@@ -94,6 +134,18 @@ def test_policy_swap(spark):
     assert policy_swap.policy_swap_summary(x.filter("system = 'n'"), n_boot=5).count() == 0
 
 
+def test_policy_swap_is_strict(spark):
+    x = swap_table(spark)
+    for f in (policy_swap.policy_swap_summary, policy_swap.changed_outputs):
+        with pytest.raises(ValueError, match="several rows"):
+            f(x.unionByName(x.limit(1)))
+        with pytest.raises(ValueError, match="same pairs"):
+            f(x.filter("not (line_id = '1' and system = 'n')"))
+    assert policy_swap.policy_swap_summary(x.filter("not (line_id = '1' and system = 'n')"), n_boot=5, unpaired="drop").first().n_lines == 3
+    nulls = x.withColumn("document_id", F.lit(None).cast("string"))
+    assert policy_swap.policy_swap_summary(nulls, n_boot=5).first().n_units == 1
+
+
 def test_manifest_checks(spark):
     m = manifest(spark)
     x = spark.createDataFrame([("n",), ("m",)], "system string")
