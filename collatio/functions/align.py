@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import fields, replace
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -28,19 +30,43 @@ _SPANS_ARROW = pa.list_(pa.struct([(n, _ARROW[t]) for n, t in SPAN_FIELDS]))
 
 
 def _pairs(refs: list, hyps: list, policy: EvalPolicy, unit: str) -> tuple[list[int], list]:
+    return _pairs_of(refs, hyps, [(policy, unit)] * len(refs))
+
+
+def _pairs_of(refs: list, hyps: list, ways: list[tuple[EvalPolicy, str]]) -> tuple[list[int], list]:
+    """(rows without a null text, their token lists), each row read in its own way (policy, unit)."""
     where, pairs = [], []
-    for i, (r, h) in enumerate(zip(refs, hyps, strict=True)):
+    for i, (r, h, (policy, unit)) in enumerate(zip(refs, hyps, ways, strict=True)):
         if r is not None and h is not None:
             where.append(i)
             pairs.append((kernel.tokenize(kernel.normalize(r, policy), unit), kernel.tokenize(kernel.normalize(h, policy), unit)))
     return where, pairs
 
 
-def _spread(where: list[int], values: list, n: int, kind: pa.DataType) -> pa.Array:
-    out: list = [None] * n
-    for i, v in zip(where, values, strict=True):
-        out[i] = v
-    return pa.array(out, kind)
+def _ways(settings: Sequence[pa.Array], n: int, policy: EvalPolicy, metric: str) -> list[tuple[EvalPolicy, str]]:
+    """How each row is read: by its own settings where it has any (policy_* in the order of the policy's fields; null is
+    the given policy's), else by the policy."""
+    names, known = [f.name for f in fields(EvalPolicy)], {}
+
+    def way(own: tuple) -> tuple[EvalPolicy, str]:
+        if own not in known:
+            p = replace(policy, **{k: v for k, v in zip(names, own, strict=True) if v is not None}) if own else policy
+            known[own] = p.for_metric(metric), p.unit(metric)
+        return known[own]
+
+    return [way(own) for own in zip(*[s.to_pylist() for s in settings], strict=True)] if settings else [way(())] * n
+
+
+def _lists(where: list[int], values: list[list[tuple]], n: int, kind: pa.ListType) -> pa.Array:
+    """A list array of structs from lists of tuples, null where no row of where is; built column by column."""
+    sizes = np.zeros(n, np.int32)
+    sizes[where] = [len(v) for v in values]
+    offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+    columns = list(zip(*(t for v in values for t in v), strict=True)) or [()] * kind.value_type.num_fields
+    flat = pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(columns, kind.value_type, strict=True)], fields=list(kind.value_type))
+    null = np.ones(n, bool)
+    null[where] = False
+    return pa.ListArray.from_arrays(pa.array(offsets), flat, mask=pa.array(null))
 
 
 def cells(reference: str | Column, hypothesis: str | Column, wanted: Sequence[tuple[EvalPolicy, str]]) -> Column:
@@ -57,10 +83,7 @@ def cells(reference: str | Column, hypothesis: str | Column, wanted: Sequence[tu
         for policy, unit in different:
             where, pairs = _pairs(r, h, policy, unit)
             found[policy, unit] = kernel.counts(pairs)
-        rows: list = [None] * len(r)
-        for k, i in enumerate(where):
-            rows[i] = [dict(zip(COUNTS, found[w][k], strict=True)) for w in wanted]
-        return pa.array(rows, pa.list_(_COUNTS_ARROW))
+        return _lists(where, list(zip(*[found[w] for w in wanted], strict=True)), len(r), pa.list_(_COUNTS_ARROW))
 
     return align(_col(reference), _col(hypothesis))
 
@@ -71,32 +94,34 @@ def edit_counts(reference: str | Column, hypothesis: str | Column, policy: EvalP
     return cells(reference, hypothesis, [(p, unit or p.char_unit)])[0]
 
 
-def align_text(reference: str | Column, hypothesis: str | Column, policy: EvalPolicy | None = None, unit: str | None = None) -> Column:
+def align_text(
+    reference: str | Column, hypothesis: str | Column, policy: EvalPolicy | None = None, unit: str | None = None, settings: Sequence[str | Column] = (), metric: str | None = None
+) -> Column:
     """The edit script as an array of (reference, hypothesis, operation); a gap is null.  Ties prefer the diagonal,
-    then a deletion, then an insertion, read from the end."""
-    p = policy or EvalPolicy()
-    u = unit or p.char_unit
+    then a deletion, then an insertion, read from the end.
+
+    settings: columns with the policy of each row, for rows of several policies."""
+    p, m = policy or EvalPolicy(), metric or ("wer" if unit == "word" else "cer")
+    base = replace(p, char_unit=unit) if unit and unit != "word" else p
 
     @F.arrow_udf(SCRIPT_TYPE)
-    def align(refs: pa.Array, hyps: pa.Array) -> pa.Array:
-        where, pairs = _pairs(refs.to_pylist(), hyps.to_pylist(), p, u)
-        rows = [[{"reference": a, "hypothesis": b, "operation": o} for a, b, o in s] for s in kernel.scripts(pairs)]
-        return _spread(where, rows, len(refs), _SCRIPT_ARROW)
+    def align(refs: pa.Array, hyps: pa.Array, *own: pa.Array) -> pa.Array:
+        where, pairs = _pairs_of(refs.to_pylist(), hyps.to_pylist(), _ways(own, len(refs), base, m))
+        return _lists(where, kernel.scripts(pairs), len(refs), _SCRIPT_ARROW)
 
-    return align(_col(reference), _col(hypothesis))
+    return align(_col(reference), _col(hypothesis), *map(_col, settings))
 
 
-def error_spans(reference: str | Column, hypothesis: str | Column, policy: EvalPolicy, unit: str, context: int) -> Column:
+def error_spans(reference: str | Column, hypothesis: str | Column, policy: EvalPolicy, metric: str, context: int, settings: Sequence[str | Column] = ()) -> Column:
     """The maximal runs of differences as an array of structs."""
 
     @F.arrow_udf("array<struct<" + ",".join(f"{n}:{t}" for n, t in SPAN_FIELDS) + ">>")
-    def align(refs: pa.Array, hyps: pa.Array) -> pa.Array:
-        where, pairs = _pairs(refs.to_pylist(), hyps.to_pylist(), policy, unit)
-        names = [n for n, _ in SPAN_FIELDS]
-        rows = [[dict(zip(names, s, strict=True)) for s in kernel.spans(x, unit == "word", context)] for x in kernel.scripts(pairs)]
-        return _spread(where, rows, len(refs), _SPANS_ARROW)
+    def align(refs: pa.Array, hyps: pa.Array, *own: pa.Array) -> pa.Array:
+        where, pairs = _pairs_of(refs.to_pylist(), hyps.to_pylist(), _ways(own, len(refs), policy, metric))
+        rows = [kernel.spans(x, metric == "wer", context) for x in kernel.scripts(pairs)]
+        return _lists(where, rows, len(refs), _SPANS_ARROW)
 
-    return align(_col(reference), _col(hypothesis))
+    return align(_col(reference), _col(hypothesis), *map(_col, settings))
 
 
 def error_rate(distance: str | Column, n_reference: str | Column, insertions: str | Column) -> Column:

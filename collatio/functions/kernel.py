@@ -22,7 +22,7 @@ _PUNCTUATION = regex.compile(r"\p{P}+")
 _SPACE = regex.compile(r"\p{White_Space}+")
 _WORDS = regex.compile(r"[^\p{White_Space}]+").findall
 
-#: Cells of one matrix, beyond which a pair is refused instead of exhausting a worker.
+#: Cells of one matrix that is kept whole; of a larger one only some rows are kept and the rest computed again.
 MOST_CELLS = 40_000_000
 #: Cells that one block of pairs may have.
 BLOCK_CELLS = 1_500_000
@@ -68,8 +68,6 @@ def _blocks(sizes: list[tuple[int, int]], paths: bool) -> list[list[int]]:
     rows = width = 0
     for i in sorted(range(len(sizes)), key=lambda i: (sizes[i][1], sizes[i][0])):
         n, m = sizes[i]
-        if n * m > MOST_CELLS:
-            raise ValueError(f"a pair has {n} x {m} tokens, more than {MOST_CELLS} cells")
         r, w = max(rows, n), max(width, m)
         cells = (len(out[-1]) + 1 if out else 1) * (w + 1) * ((r + 1) if paths else 24)
         if not out or cells > BLOCK_CELLS or w > 2 * sizes[out[-1][0]][1] + 16:
@@ -127,6 +125,46 @@ def _run(refs: list[np.ndarray], hyps: list[np.ndarray], paths: bool) -> tuple[n
     return np.stack([final >> 42, (final >> 21) & mask, final & mask], axis=1), ops
 
 
+def _row(before: np.ndarray, token: int, hyp: np.ndarray, i: int, column: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(distances, ops) of row i of one pair's matrix, from the row before."""
+    diagonal, up = before[:-1] + (hyp != token), before[1:] + 1
+    best = np.empty(len(hyp) + 1, np.int64)
+    best[0] = i
+    np.minimum(diagonal, up, out=best[1:])
+    dist = np.minimum.accumulate(best - column) + column
+    ops = np.ones(len(hyp) + 1, np.int8)
+    ops[1:] = np.where(dist[1:] < best[1:], 2, np.where(diagonal <= up, 0, 1))
+    return dist, ops
+
+
+def _long_path(ref: np.ndarray, hyp: np.ndarray) -> list[int]:
+    """The ops of one pair from the end, in memory of about sqrt(n) rows.
+
+    Every so many rows one is kept; from the last on, the rows between two of them are computed again with their ops, only
+    as far to the right as the path still is."""
+    n, m = len(ref), len(hyp)
+    step = max(1, int(n**0.5))
+    column = np.arange(m + 1, dtype=np.int64)
+    kept, row = [column], column
+    for i in range(1, n + 1):
+        row, _ = _row(row, ref[i - 1], hyp, i, column)
+        if i % step == 0:
+            kept.append(row)
+    out: list[int] = []
+    i, j = n, m
+    while i:
+        first = (i - 1) // step * step
+        row, block = kept[first // step][: j + 1], []
+        for k in range(first + 1, i + 1):
+            row, ops = _row(row, ref[k - 1], hyp[:j], k, column[: j + 1])
+            block.append(ops)
+        while i > first:
+            op = int(block[i - first - 1][j])
+            out.append(op)
+            i, j = i - (op != 2), j - (op != 1)
+    return out + [2] * j
+
+
 def counts(pairs: Sequence[tuple[list[str], list[str]]]) -> list[tuple[int, int, int, int, int, int, int]]:
     """(n_reference, n_hypothesis, equal, substitutions, deletions, insertions, distance) of each pair.
 
@@ -169,13 +207,17 @@ def scripts(pairs: Sequence[tuple[list[str], list[str]]]) -> list[list[tuple[str
         rest.append((a[: n - z], b[: m - z]))
         where.append((i, [(t, t, EQUAL) for t in a[n - z :]]))
     coded = _codes(rest)
-    for block in _blocks([(len(a), len(b)) for a, b in coded], paths=True):
-        _, ops = _run([coded[k][0] for k in block], [coded[k][1] for k in block], paths=True)
+    short = [k for k, (a, b) in enumerate(coded) if len(a) * len(b) <= MOST_CELLS]
+    paths = {k: _long_path(a, b) for k, (a, b) in enumerate(coded) if len(a) * len(b) > MOST_CELLS}
+    for chosen in [*_blocks([(len(coded[k][0]), len(coded[k][1])) for k in short], paths=True), None]:
+        block = list(paths) if chosen is None else [short[x] for x in chosen]
+        ops = None if chosen is None else _run([coded[k][0] for k in block], [coded[k][1] for k in block], paths=True)[1]
         for row, k in enumerate(block):
             a, b = rest[k]
-            i, j, own, script = len(a), len(b), ops[row], []
+            i, j, script = len(a), len(b), []
+            known = iter(paths.get(k, ()))
             while i or j:
-                op = own[i, j]
+                op = ops[row, i, j] if ops is not None else next(known)
                 if op == 0:
                     i, j = i - 1, j - 1
                     script.append((a[i], b[j], EQUAL if a[i] == b[j] else SUBSTITUTION))

@@ -11,7 +11,8 @@ from collatio.functions.align import SPAN_FIELDS, align_text, error_spans
 from collatio.policy import EvalPolicy, check_columns, choice
 
 
-def _texts(x: DataFrame, metric: str, by: Sequence[str], policy: EvalPolicy | None) -> tuple[DataFrame, list[str], list[tuple[EvalPolicy, DataFrame]]]:
+def _texts(x: DataFrame, metric: str, by: Sequence[str], policy: EvalPolicy | None) -> tuple[DataFrame, list[str], list[str]]:
+    """(rows of the metric, by, columns with each row's own policy)."""
     choice("metric", metric, ("cer", "wer"))
     by = list(dict.fromkeys([by] if isinstance(by, str) else by))
     missing = [c for c in ("reference", "prediction", "input_row") if c not in x.columns]
@@ -19,41 +20,20 @@ def _texts(x: DataFrame, metric: str, by: Sequence[str], policy: EvalPolicy | No
         raise ValueError(f"the evaluation has no {', '.join(missing)}; evaluate again with keep_text")
     check_columns(x.columns, *by)
     rows = x.filter(F.col("metric") == metric) if "metric" in x.columns else x  # before the alignment, not after it
-    if policy is None and "policy_unicode" in x.columns:
-        # rows of several policies: each is aligned under its own
-        own = [f"policy_{k}" for k in ("unicode", "case", "whitespace", "punctuation", "char_unit")]
-        found = [EvalPolicy(*r) for r in rows.select(*own).distinct().limit(1000).collect()]
-        parts = []
-        for p in found:
-            part = rows
-            for k, v in p.columns().items():
-                part = part.filter(F.col(k) == v)
-            parts.append((p, part))
-        return rows, by, parts
-    return rows, by, [(policy or EvalPolicy(), rows)]
-
-
-def _union(parts: list[DataFrame]) -> DataFrame:
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    # rows of several policies: each is aligned under its own, all in one pass
+    own = list(EvalPolicy().columns()) if policy is None and "policy_unicode" in x.columns else []
+    return rows, by, own
 
 
 def confusion_table(x: DataFrame, metric: str = "cer", by: Sequence[str] = (), include_equal: bool = False, epsilon: str = "<eps>", policy: EvalPolicy | None = None) -> DataFrame:
     """by..., reference_token, prediction_token, operation, n, the commonest first; a gap is epsilon."""
-    rows, by, parts = _texts(x, metric, by, policy)
-    steps = []
-    for p, part in parts:
-        script = align_text("reference", "prediction", p.for_metric(metric), p.unit(metric))
-        if not include_equal:
-            # one array out of Python; equal steps are dropped before it is exploded
-            script = F.filter(script, lambda s: s["operation"] != "equal")
-        steps.append(part.select(*by, F.explode(script).alias("s")))
-    if not steps:
-        steps = [rows.select(*by, F.lit(None).cast("struct<reference:string,hypothesis:string,operation:string>").alias("s")).filter("false")]
+    rows, by, own = _texts(x, metric, by, policy)
+    script = align_text("reference", "prediction", policy, settings=own, metric=metric)
+    if not include_equal:
+        # one array out of Python; equal steps are dropped before it is exploded
+        script = F.filter(script, lambda s: s["operation"] != "equal")
     token = lambda side: F.coalesce(F.col(f"s.{side}"), F.lit(epsilon))
-    out = _union(steps).select(*by, token("reference").alias("reference_token"), token("hypothesis").alias("prediction_token"), "s.operation")
+    out = rows.select(*by, F.explode(script).alias("s")).select(*by, token("reference").alias("reference_token"), token("hypothesis").alias("prediction_token"), "s.operation")
     out = out.groupBy(*by, "reference_token", "prediction_token", "operation").agg(F.count("*").alias("n"))
     return out.orderBy(F.desc("n"), *by, "reference_token", "prediction_token", "operation")
 
@@ -63,13 +43,8 @@ def extract_error_spans(x: DataFrame, metric: str = "cer", by: Sequence[str] = (
     positions, counts and contexts, whether it may be a repetition, and both full texts."""
     if not isinstance(context, int) or context < 0:
         raise ValueError("context must be an integer from 0 on")
-    rows, by, parts = _texts(x, metric, by, policy)
+    rows, by, own = _texts(x, metric, by, policy)
     by = [c for c in by if c not in ("input_row", "reference", "prediction")]
-    found = [
-        part.select(*by, "input_row", "reference", "prediction", F.inline(error_spans("reference", "prediction", p.for_metric(metric), p.unit(metric), context)))
-        for p, part in parts
-    ]
+    spans = error_spans("reference", "prediction", policy or EvalPolicy(), metric, context, own)
     names = [n for n, _ in SPAN_FIELDS]
-    if not found:
-        found = [rows.select(*by, "input_row", "reference", "prediction", *[F.lit(None).cast(t).alias(n) for n, t in SPAN_FIELDS]).filter("false")]
-    return _union(found).select(*by, "input_row", *names, "reference", "prediction")
+    return rows.select(*by, "input_row", "reference", "prediction", F.inline(spans)).select(*by, "input_row", *names, "reference", "prediction")

@@ -44,7 +44,7 @@ def run_analysis(table: DataFrame, out: str, policy: EvalPolicy | None = None, a
     spans = _written(diagnostics.extract_error_spans(x, "cer", by, 8, policy), out, "error_spans")
     done["error_spans"] = spans
     strata = [c for c in ("system", "task", "language") if c in x.columns]
-    batch = annotate.prepare_fidelity_annotation(x, "cer", keep=[c for c in keep if c not in strata], strata=strata, n=annotation_n, context=8, seed=seed, policy=policy)
+    batch = annotate.prepare_fidelity_annotation(x, "cer", spans=spans, keep=[c for c in keep if c not in strata], strata=strata, n=annotation_n, context=8, seed=seed, policy=policy)
     for name, df in (("annotation_items", batch.items), ("annotation_key", batch.key), ("codebook", batch.codebook)):
         done[name] = _written(df, out, name)
     done["manifest"] = _written(run_manifest(table, annotation_n=done["annotation_items"].count(), seed=seed), out, "manifest")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import os
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -13,15 +13,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The folder for checkpoints: the shared one that the session names in spark.checkpoint.dir, else, in
-    tests on one machine, a new temporary one."""
+    """The folder for checkpoints: the shared one that the session names in spark.checkpoint.dir."""
     sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isDefined():
-        return sc._jsc.sc().getCheckpointDir().get()
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named and not sc.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="collatio-checkpoint-"))
+    if not sc._jsc.sc().getCheckpointDir().isDefined():
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named:
+            if not sc.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+            named = os.path.join(os.getcwd(), "spark-checkpoint")  # one machine: beside the warehouse
+        sc.setCheckpointDir(named)
     return sc._jsc.sc().getCheckpointDir().get()
 
 

@@ -123,3 +123,8 @@ def test_diagnostics(spark):
     own = normalization_sensitivity(df.limit(1), {"a": {}, "b": {"case": "upper"}}, metrics=["cer"], input_row="n")
     tokens = {(r.policy, r.reference_token) for r in diagnostics.confusion_table(own, by=["policy"]).collect()}
     assert ("a", "b") in tokens and ("b", "B") in tokens
+    # many policies, and one that isn't known, in one pass: nothing is dropped
+    many = own.withColumn("policy_case", F.when(F.col("policy") == "b", F.lit(None).cast("string")).otherwise(F.col("policy_case")))
+    assert {(r.policy, r.reference_token) for r in diagnostics.confusion_table(many, by=["policy"]).collect()} == {("a", "b"), ("a", "c"), ("b", "b"), ("b", "c")}
+    plan = diagnostics.confusion_table(own, by=["policy"])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 2  # the evaluation and the script

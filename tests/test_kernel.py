@@ -49,10 +49,23 @@ def test_long_and_mixed_sizes():
     assert [c[6] for c in kernel.counts(pairs)] == [sum(o != "equal" for *_, o in s) for s in kernel.scripts(pairs)]
 
 
-def test_a_pair_beyond_the_limit_is_refused(monkeypatch):
-    monkeypatch.setattr(kernel, "MOST_CELLS", 10)
-    with pytest.raises(ValueError, match="more than 10 cells"):
-        kernel.counts([(list("abcd"), list("wxyz"))])
+@pytest.mark.parametrize("limit", [0, 10, 200])
+def test_pairs_beyond_the_limit_have_the_same_path(monkeypatch, limit):
+    rng = random.Random(8)
+    pairs = [([rng.choice("abc") for _ in range(n)], [rng.choice("abc") for _ in range(m)]) for n, m in ((0, 0), (0, 7), (9, 0), (1, 1), (30, 28), (5, 60), (61, 4), (37, 40), (16, 16))]
+    want = [brute(a, b) for a, b in pairs]
+    monkeypatch.setattr(kernel, "MOST_CELLS", limit)
+    assert kernel.scripts(pairs) == want
+    assert [c[6] for c in kernel.counts(pairs)] == [sum(o != "equal" for *_, o in s) for s in want]
+
+
+def test_a_very_long_pair():
+    rng = random.Random(9)
+    a = [rng.choice("abcdefgh") for _ in range(9000)]
+    b = a[:4000] + ["x"] * 3 + a[4005:]
+    script = kernel.scripts([(a, b)])[0]  # 81 million cells
+    assert [x for x, _, _ in script if x is not None] == a and [y for _, y, _ in script if y is not None] == b
+    assert sum(o != "equal" for *_, o in script) == kernel.counts([(a, b)])[0][6] == 5
 
 
 @pytest.mark.parametrize(
