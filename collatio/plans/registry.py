@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from collatio import plots
-from collatio.functions.align import COUNTS, edit_counts, output_distance
+from collatio.functions.align import COUNTS, SPAN_FIELDS, align_text, edit_counts, output_distance
 from collatio.functions.text import normalize_text, tokenize
 from collatio.operators import annotate, compare, diagnostics, policy_swap, preferences, sampling
 from collatio.operators.evaluate import evaluate_recognition, normalization_sensitivity
@@ -270,32 +270,59 @@ def output_distances(spark, d):
     return a.join(b, "line_id").select("line_id", "system_a", "system_b", output_distance("a", "b").alias("output_distance"))
 
 
-# the path through the matrix is out of reach for SQL: these are tested against brute force
-@query()
+_SCRIPT = (sql.RECOG, sql.scripts("script", "recog", STRICT, "grapheme"))
+_SPAN_COLUMNS = ", ".join(name for name, _ in SPAN_FIELDS)
+
+
+@query(_with(*_SCRIPT) + """SELECT system, coalesce(r, '<eps>') AS reference_token, coalesce(h, '<eps>') AS prediction_token, op AS operation, count(*) AS n
+  FROM recog JOIN script USING (reference, prediction) WHERE op <> 'equal' GROUP BY ALL""")
 def confusion_table(spark, d):
     return diagnostics.confusion_table(evaluation(spark, d, ["cer"]), by=["system"])
 
 
-@query()
+@query(_with(*_SCRIPT, sql.spans("spans", "script", 8)) + f"SELECT system, line_id, row_id AS input_row, {_SPAN_COLUMNS}, reference, prediction FROM recog JOIN spans USING (reference, prediction)")
 def error_spans(spark, d):
     return diagnostics.extract_error_spans(evaluation(spark, d, ["cer"]), by=["system", "line_id"], context=8)
 
 
-@query()
+@query(_with(*_SCRIPT, sql.spans("spans", "script", 5)) + """SELECT system, operation, count(*) AS n_spans, sum(possible_repetition::INT)::BIGINT AS n_possible_repetitions
+  FROM recog JOIN spans USING (reference, prediction) GROUP BY ALL""")
 def repetition_flags(spark, d):
     spans = diagnostics.extract_error_spans(evaluation(spark, d, ["cer"]), by=["system"])
     return spans.groupBy("system", "operation").agg(F.count("*").alias("n_spans"), F.sum(F.col("possible_repetition").cast("long")).alias("n_possible_repetitions"))
 
 
-@query()
+@query(_with(*_SCRIPT) + """SELECT row_id, string_agg(CASE op WHEN 'equal' THEN '=' WHEN 'substitution' THEN '~' WHEN 'deletion' THEN '-' ELSE '+' END, '' ORDER BY pos) AS script
+  FROM recog JOIN script USING (reference, prediction) GROUP BY row_id""")
+def edit_scripts(spark, d):
+    """The operations of every row's edit script, a sign each; rows without any step (both texts empty) are left out."""
+    sign = F.create_map(*[F.lit(x) for kv in {"equal": "=", "substitution": "~", "deletion": "-", "insertion": "+"}.items() for x in kv])
+    script = F.array_join(F.transform(align_text("reference", "prediction", STRICT), lambda s: sign[s["operation"]]), "")
+    return recognition(spark, d).select("row_id", script.alias("script")).filter("script <> ''")
+
+
+def _hash(seed: int, *columns: str) -> str:
+    return "md5(concat_ws('|', '" + str(seed) + "', " + ", ".join(f"coalesce({c}::VARCHAR, '')" for c in columns) + "))"
+
+
+_ITEMS = f"""src AS (SELECT system, line_id, language, script_type, row_id AS input_row, {_SPAN_COLUMNS}, reference, prediction FROM recog JOIN spans USING (reference, prediction)),
+  h AS (SELECT *, {_hash(SEED, 'input_row', 'span_id', 'system')} AS hh FROM src),
+  r AS (SELECT *, row_number() OVER (PARTITION BY system, language ORDER BY hh, input_row, span_id, system) AS rk, greatest(1, 400 // (SELECT count(*) FROM (SELECT DISTINCT system, language FROM src))) AS each FROM h),
+  c AS (SELECT * FROM r WHERE rk <= 400 ORDER BY (rk > each)::INT, hh, input_row, span_id, system LIMIT 400)"""
+
+
+@query(_with(*_SCRIPT, sql.spans("spans", "script", 8), _ITEMS) + f"""SELECT printf('ann_%06d', row_number() OVER (ORDER BY {_hash(SEED + 1, 'input_row', 'span_id', 'system')}, input_row, span_id, system)) AS annotation_id,
+  line_id, language, script_type, operation, reference_span, prediction_span, context_before, context_after, possible_repetition, reference, prediction,
+  NULL::VARCHAR AS primary_label, NULL::VARCHAR AS secondary_label, NULL::VARCHAR AS annotator, NULL::INT AS confidence, NULL::VARCHAR AS notes FROM c""")
 def fidelity_annotation_items(spark, d):
     x = evaluation(spark, d, ["cer"])
     return annotate.prepare_fidelity_annotation(x, keep=["language", "script_type"], strata=["system", "language"], n=400, context=8, seed=SEED).items
 
 
-@query("SELECT label, behavior_group, requires_image FROM fidelity_codebook")
+@query("SELECT label, behavior_group, requires_image, " + "CASE label " + " ".join(f"WHEN '{label}' THEN '{text.replace(chr(39), chr(39) * 2)}'" for label, _, text in annotate.CODEBOOK) + " END AS definition FROM fidelity_codebook")
 def fidelity_codebook(spark, d):
-    return annotate.fidelity_codebook(spark).select("label", "behavior_group", "requires_image")
+    """The codebook as annotators get it; labels, groups and flags are those of the table, definitions are this library's own."""
+    return annotate.fidelity_codebook(spark)
 
 
 _LOOSE = "nullif(regexp_replace(lower(regexp_replace({c}, '^\\s+|\\s+$', '', 'g')), '[\\s-]+', '_', 'g'), '')"
@@ -331,10 +358,6 @@ def agreement_kappa(spark, d):
     return _rounded(annotate.pairwise_agreement(_latest_labels(spark, d)), "raw_agreement", "expected_agreement", "cohen_kappa")
 
 
-def _hash(seed: int, *columns: str) -> str:
-    return "md5(concat_ws('|', '" + str(seed) + "', " + ", ".join(f"coalesce({c}::VARCHAR, '')" for c in columns) + "))"
-
-
 _STRATA = f"""src AS (SELECT DISTINCT system, operation, input_row, span_id FROM error_spans),
   h AS (SELECT *, {_hash(SEED, 'input_row', 'span_id', 'system')} AS hh FROM src),
   r AS (SELECT *, row_number() OVER (PARTITION BY system, operation ORDER BY hh, input_row, span_id, system) AS rk, greatest(1, 400 // (SELECT count(*) FROM (SELECT DISTINCT system, operation FROM src))) AS each FROM h),

@@ -57,6 +57,45 @@ def counts(name: str, pairs: str, p: EvalPolicy, unit: str) -> str:
   {name} AS (SELECT reference, prediction, n, m, (c >> 20) & 1023 AS s, (c >> 10) & 1023 AS d, c & 1023 AS i, c >> 30 AS dist FROM {name}_dp)"""
 
 
+def scripts(name: str, pairs: str, p: EvalPolicy, unit: str) -> str:
+    """CTEs that end in name(reference, prediction, pos, op, r, h, i, j): the edit script of each different pair of texts.
+
+    The whole matrix is kept, but for a common end; the path is read back from its corner, a letter a step."""
+    d = "m[acc.i + 1][acc.j + 1]"
+    step = (
+        f"CASE WHEN acc.i > 0 AND acc.j > 0 AND {d} = m[acc.i][acc.j] + (x[acc.i] <> y[acc.j])::BIGINT THEN CASE WHEN x[acc.i] = y[acc.j] THEN 'E' ELSE 'S' END"
+        f" WHEN acc.i > 0 AND {d} = m[acc.i][acc.j + 1] + 1 THEN 'D' ELSE 'I' END"
+    )
+    return f"""{name}_tok AS (SELECT reference, prediction, {tokens('reference', p, unit)} AS a, {tokens('prediction', p, unit)} AS b FROM (SELECT DISTINCT reference, prediction FROM {pairs})),
+  {name}_suf AS (SELECT *, coalesce(list_position(list_transform(range(0, least(len(a), len(b))), lambda k: a[len(a) - k] = b[len(b) - k]), false) - 1, least(len(a), len(b))) AS q FROM {name}_tok),
+  {name}_mid AS (SELECT *, a[1:len(a) - q] AS x, b[1:len(b) - q] AS y FROM {name}_suf),
+  {name}_dp AS (SELECT *, list_reduce(range(1, len(x) + 1), lambda acc, i: list_append(acc,
+      list_reduce(range(1, len(y) + 1), lambda cur, j: list_append(cur, least(acc[i][j] + (x[i] <> y[j])::BIGINT, acc[i][j + 1] + 1, cur[j] + 1)), [i])), [range(0, len(y) + 1)]) AS m FROM {name}_mid),
+  {name}_path AS (SELECT reference, prediction, a, b, reverse(list_reduce(range(0, len(x) + len(y)), lambda acc, t: CASE WHEN acc.i = 0 AND acc.j = 0 THEN acc ELSE
+      struct_pack(i := acc.i - (({step}) <> 'I')::BIGINT, j := acc.j - (({step}) <> 'D')::BIGINT, s := acc.s || ({step})) END,
+      struct_pack(i := len(x)::BIGINT, j := len(y)::BIGINT, s := '')).s) || repeat('E', q) AS ops FROM {name}_dp),
+  {name}_steps AS (SELECT *, substr(ops, pos::INT, 1) AS o FROM (SELECT *, unnest(range(1, length(ops) + 1)) AS pos FROM {name}_path)),
+  {name}_at AS (SELECT *, sum((o <> 'I')::INT) OVER w AS i, sum((o <> 'D')::INT) OVER w AS j FROM {name}_steps WINDOW w AS (PARTITION BY reference, prediction ORDER BY pos)),
+  {name} AS (SELECT reference, prediction, pos, CASE o WHEN 'E' THEN 'equal' WHEN 'S' THEN 'substitution' WHEN 'D' THEN 'deletion' ELSE 'insertion' END AS op,
+    CASE WHEN o <> 'I' THEN a[i::INT] END AS r, CASE WHEN o <> 'D' THEN b[j::INT] END AS h, i, j FROM {name}_at)"""
+
+
+def spans(name: str, script: str, context: int) -> str:
+    """CTEs that end in name(reference, prediction, ... the fields of a span): runs of differences of a script of characters."""
+    return f"""{name}_run AS (SELECT *, pos - row_number() OVER (PARTITION BY reference, prediction ORDER BY pos) AS run FROM {script} WHERE op <> 'equal'),
+  {name}_all AS (SELECT reference, prediction, list(coalesce(r, h) ORDER BY pos) AS shown, list(h ORDER BY pos) FILTER (h IS NOT NULL) AS hyp FROM {script} GROUP BY ALL),
+  {name}_agg AS (SELECT reference, prediction, min(pos) AS first, max(pos) AS last, CASE WHEN count(DISTINCT op) = 1 THEN min(op) ELSE 'mixed' END AS operation, string_agg(op, '+' ORDER BY pos) AS operations,
+    coalesce(string_agg(r, '' ORDER BY pos), '') AS reference_span, coalesce(string_agg(h, '' ORDER BY pos), '') AS prediction_span, min(i) FILTER (r IS NOT NULL) AS reference_start, max(i) FILTER (r IS NOT NULL) AS reference_end,
+    min(j) FILTER (h IS NOT NULL) AS prediction_start, max(j) FILTER (h IS NOT NULL) AS prediction_end, count(*) FILTER (op = 'substitution') AS substitutions, count(*) FILTER (op = 'deletion') AS deletions,
+    count(*) FILTER (op = 'insertion') AS insertions, list(h ORDER BY pos) FILTER (h IS NOT NULL) AS hs FROM {name}_run GROUP BY reference, prediction, run),
+  {name} AS (SELECT reference, prediction, row_number() OVER (PARTITION BY reference, prediction ORDER BY first)::INT AS span_id, operation, operations, reference_span, prediction_span,
+    reference_start::INT AS reference_start, reference_end::INT AS reference_end, prediction_start::INT AS prediction_start, prediction_end::INT AS prediction_end,
+    substitutions::INT AS substitutions, deletions::INT AS deletions, insertions::INT AS insertions,
+    array_to_string(shown[greatest(1, first - {context}):first - 1], '') AS context_before, array_to_string(shown[last + 1:last + {context}], '') AS context_after,
+    operation = 'insertion' AND (coalesce(hyp[greatest(1, prediction_start - len(hs)):prediction_start - 1] = hs, false) OR coalesce(hyp[prediction_start + len(hs):prediction_start + 2 * len(hs) - 1] = hs, false)) AS possible_repetition
+    FROM {name}_agg JOIN {name}_all USING (reference, prediction))"""
+
+
 RATE = "CASE WHEN {n} = 0 THEN ({i})::DOUBLE ELSE ({dist})::DOUBLE / ({n})::DOUBLE END"
 
 
