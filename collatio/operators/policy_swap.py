@@ -14,6 +14,8 @@ from collatio.policy import check_columns
 
 #: Rates that differ by less are the same.
 TOLERANCE = sys.float_info.epsilon**0.5
+# Fixed value: how a manifest marks a revision that isn't frozen yet.
+TO_FREEZE = "TO_FREEZE"
 MANIFEST = ("system", "model", "model_family", "prompt_policy", "prompt_condition", "model_id", "revision", "prompt_file")
 
 
@@ -44,6 +46,17 @@ def frozen_identity(manifest: DataFrame) -> DataFrame:
     return out.withColumn("frozen", (F.col("n_model_ids") == 1) & (F.col("n_revisions") == 1))
 
 
+def freeze_revisions(manifest: DataFrame, locked: DataFrame) -> DataFrame:
+    """The manifest with the revision of locked (model_id, revision; one row a model) where its own is still to be frozen
+    and the model's id is that of a repository (owner/name).  Models that locked lacks stay as they are."""
+    if (twice := locked.groupBy("model_id").count().filter("count > 1").limit(1).collect()):
+        raise ValueError(f"{twice[0].model_id} is locked twice")
+    known = locked.select(F.col("model_id").alias("__id"), F.col("revision").alias("__revision"))
+    out = manifest.join(known, F.trim("model_id") == F.col("__id"), "left")
+    open_ = (F.trim("revision") == TO_FREEZE) & F.trim("model_id").rlike("^[^/.][^/]*/.+") & F.col("__revision").isNotNull()
+    return out.withColumn("revision", F.when(open_, F.col("__revision")).otherwise(F.col("revision"))).select(*manifest.columns)
+
+
 def condition_conflicts(x: DataFrame, model_col: str = "model", condition_col: str = "prompt_condition", system_col: str = "system") -> DataFrame:
     """Conditions that stand for more than one system, of the models that have several conditions."""
     rows = x.filter(F.trim(F.col(model_col)) != "").select(model_col, condition_col, system_col).distinct()

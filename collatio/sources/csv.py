@@ -6,20 +6,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 
-def read_csv(spark: SparkSession, path: str, schema: str | T.StructType | None = None, null_value: str = "NA") -> DataFrame:
-    """UTF-8 with a header, names unchanged (but for a byte order mark), quotes doubled inside quotes, line breaks in
-    quotes kept.  A quoted empty field is an empty text; a bare empty field and null_value are null."""
-    reader = spark.read.option("header", True).option("escape", '"').option("multiLine", True).option("nullValue", null_value).option("encoding", "UTF-8")
-    reader = reader.schema(schema) if schema is not None else reader.option("inferSchema", True)
-    df = reader.csv(path)
+def read_csv(spark: SparkSession, path: str, schema: str | T.StructType | None = None, null_value: str = "NA", multi_line: bool = False) -> DataFrame:
+    """UTF-8 with a header, names unchanged (but for a byte order mark), quotes doubled inside quotes.  A quoted empty field
+    is an empty text; a bare empty field and null_value are null.  Without a schema all columns are texts.
+
+    multi_line keeps line breaks in quotes, at the price of one task a file; without it files are split."""
+    reader = spark.read.option("header", True).option("escape", '"').option("multiLine", multi_line).option("nullValue", null_value).option("encoding", "UTF-8")
+    df = (reader.schema(schema) if schema is not None else reader).csv(path)
     first = df.columns[0] if df.columns else ""
-    return df.withColumnRenamed(first, first.lstrip("﻿")) if first.startswith("﻿") else df
+    return df.withColumnRenamed(first, first.lstrip("\ufeff")) if first.startswith("\ufeff") else df
 
 
 def write_csv(df: DataFrame, path: str, single: bool = False) -> None:
     """One folder of CSV parts, or with single one part, for results that are small."""
     out = df.coalesce(1) if single else df
-    out.write.mode("overwrite").option("header", True).option("escape", '"').option("emptyValue", '""').option("nullValue", "").csv(path)
+    out.write.mode("overwrite").option("header", True).option("escape", '"').option("emptyValue", '""').option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).option("nullValue", "").csv(path)
 
 
 def write_table(df: DataFrame, path: str, partition_by: tuple[str, ...] = ()) -> None:

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
+import pyarrow.fs  # noqa: F401
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,8 +14,9 @@ _TEXT_LINE = (
     "_ID string, _HPOS string, _VPOS string, _WIDTH string, _HEIGHT string, Shape struct<Polygon: array<struct<_POINTS: string>>>,"
     " String array<struct<_CONTENT: string>>"
 )
-# Languages of subcorpora, suffixes of line images in the order of preference.
+# Languages of subcorpora, suffixes of page and line images in the order of preference.
 LANGUAGES = {"dta19": "German", "EarlyModernLatin": "Latin", "Kallimachos": "German/Latin", "RefCorpus-ENHG-Incunabula": "German", "RIDGES-Fraktur": "German"}
+PAGE_SUFFIXES = (".jpg", ".jpeg", ".png", ".tif", ".tiff", ".webp")
 IMAGE_SUFFIXES = (".nrm.png", ".bin.png", ".png", ".tif", ".tiff")
 
 
@@ -52,53 +58,125 @@ def read_alto(spark: SparkSession, root: str, check: bool = True) -> DataFrame:
     return rows
 
 
+def _plain_path(path: Column) -> Column:
+    """A file's path without scheme and escapes."""
+    return F.regexp_replace(F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B"))), "^file:/*", "/")
+
+
+def _relative(path: Column, root: str) -> Column:
+    """The plain path below the root."""
+    prefix = re.sub("^file:/*", "/", root.rstrip("/")) + "/"
+    return F.when(path.startswith(prefix), F.substr(path, F.lit(len(prefix) + 1))).otherwise(path)
+
+
+def _below(path: Column) -> tuple[Column, Column]:
+    """(folder, file without its last suffix) of a relative path; the folder is "" at the root."""
+    return F.regexp_replace(path, "/?[^/]*$", ""), F.regexp_replace(F.regexp_extract(path, "([^/]*)$", 1), r"\.[^.]*$", "")
+
+
 def find_images(spark: SparkSession, root: str) -> DataFrame:
-    """(document_id, stem, image_path) of every image under root: its folder and its name without suffix."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select(F.col("path").alias("__path"))
-    name = _path(1)
-    suffix = r"(?i)(\.nrm|\.bin)?\.(png|jpe?g|tiff?)$"
-    return files.filter(name.rlike(suffix)).select(_path(2).alias("document_id"), F.regexp_replace(name, suffix, "").alias("stem"), F.col("__path").alias("image_path"))
-
-
-def attach_images(pages: DataFrame, images: DataFrame) -> DataFrame:
-    """pages with image_path: the image with the page's name in its own folder, else the only one with this name
-    anywhere; several of them raise."""
-    own = images.groupBy("document_id", "stem").agg(F.min("image_path").alias("__own"))
-    anywhere = images.groupBy("stem").agg(F.min("image_path").alias("__any"), F.count("*").alias("__n"))
-    out = pages.withColumn("stem", F.col("page_id")).join(own, ["document_id", "stem"], "left").join(anywhere, "stem", "left")
-    lost = F.raise_error(F.concat(F.lit("ambiguous image for page "), F.col("page_id")))
-    found = F.when(F.col("__own").isNotNull(), F.col("__own")).when(F.col("__n") > 1, lost.cast("string")).otherwise(F.col("__any"))
-    return out.withColumn("image_path", F.coalesce(found, F.lit(""))).drop("stem", "__own", "__any", "__n")
-
-
-def scan_pairs(spark: SparkSession, root: str, require_image: bool = False) -> DataFrame:
-    """Line files *.gt.txt under <root>/<subcorpus>/<document>/: subcorpus, corpus_language, document_id, year, line_id,
-    reference, gt_path, image_path."""
+    """(folder, stem, rank, image_path) of every image under root: the folder below root, the name without suffix, and the
+    suffix's place in the order of preference."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select(_plain_path(F.col("path")).alias("image_path"))
+    suffix = F.lower(F.regexp_extract("image_path", r"(\.[^./]*)$", 1))
+    folder, stem = _below(_relative(F.col("image_path"), root))
+    rank = F.array_position(F.array(*map(F.lit, PAGE_SUFFIXES)), suffix)
+    return files.select(folder.alias("folder"), stem.alias("stem"), rank.alias("rank"), "image_path").filter("rank > 0")
+
+
+def attach_images(pages: DataFrame, gt_root: str, image_root: str | None = None) -> DataFrame:
+    """pages (with source_xml) with image_path: the image beside the page's file, else, with image_root, the one in the same
+    folder there, else the only one of the page's name anywhere there; several of them raise."""
+    spark = pages.sparkSession
+    folder, stem = _below(_relative(_plain_path(F.col("source_xml")), gt_root))
+    out = pages.withColumns({"__folder": folder, "__stem": stem})
+    beside = find_images(spark, gt_root).groupBy(F.col("folder").alias("__folder"), F.col("stem").alias("__stem")).agg(F.min_by("image_path", "rank").alias("__beside"))
+    out = out.join(beside, ["__folder", "__stem"], "left")
+    if image_root is None:
+        return out.withColumn("image_path", F.coalesce("__beside", F.lit(""))).drop("__folder", "__stem", "__beside")
+    images = find_images(spark, image_root)
+    same = images.groupBy(F.col("folder").alias("__folder"), F.col("stem").alias("__stem")).agg(F.min_by("image_path", "rank").alias("__same"))
+    anywhere = images.groupBy(F.col("stem").alias("__stem")).agg(F.min("image_path").alias("__any"), F.count("*").alias("__n"))
+    out = out.join(same, ["__folder", "__stem"], "left").join(anywhere, "__stem", "left")
+    lost = F.raise_error(F.concat(F.lit("several images are called "), F.col("__stem"))).cast("string")
+    found = F.when(F.col("__beside").isNotNull(), F.col("__beside")).when(F.col("__same").isNotNull(), F.col("__same")).when(F.col("__n") > 1, lost).otherwise(F.col("__any"))
+    return out.withColumn("image_path", F.coalesce(found, F.lit(""))).drop("__folder", "__stem", "__beside", "__same", "__any", "__n")
+
+
+def scan_pairs(spark: SparkSession, root: str, require_image: bool = True, benchmark: str = "") -> DataFrame:
+    """Line files *.gt.txt under <root>/<subcorpus>/<document>/...: benchmark, subcorpus, corpus_language, document_id, year,
+    line_id, reference, gt_path, image_path; paths are below root.
+
+    A file right in a subcorpus belongs to a document of that name, one right in root is left out.  No file at all raises,
+    and so does, with require_image, a line without an image ("" otherwise)."""
     raw = (
         spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.gt.txt").text(root)
-        .select(F.col("value"), F.col("_metadata.file_path").alias("__path"))
+        .select(F.col("value"), _relative(_plain_path(F.col("_metadata.file_path")), root).alias("gt_path"))
     )
-    prefix = F.lit(root.rstrip("/") + "/")
-    plain = F.regexp_replace(F.url_decode(F.replace(F.col("__path"), F.lit("+"), F.lit("%2B"))), "^file:/*", "/")
-    relative = F.when(plain.startswith(prefix), F.substr(plain, F.length(prefix) + 1)).otherwise(plain)
-    parts = F.split(relative, "/")
-    stem = F.regexp_replace(F.element_at(parts, -1), r"\.gt\.txt$", "")
-    safe = F.substring(F.regexp_replace(stem, r"[^A-Za-z0-9_.-]+", "_"), 1, 40)
-    year = F.regexp_extract(F.element_at(parts, -2), r"(?<!\d)(1[4-9]\d{2})(?!\d)", 1)
+    parts = F.split("gt_path", "/")
+    raw = raw.filter(F.size(parts) >= 2)
+    base = F.regexp_replace("gt_path", r"\.gt\.txt$", "")
+    safe = F.substring(F.regexp_replace(F.regexp_extract(base, "([^/]*)$", 1), r"[^A-Za-z0-9_.-]+", "_"), 1, 40)
+    document = F.when(F.size(parts) >= 3, F.get(parts, F.lit(1))).otherwise(parts[0])
+    year = F.regexp_extract(document, r"(?<!\d)(1[4-9]\d{2})(?!\d)", 1)
     language = F.create_map(*[F.lit(x) for kv in LANGUAGES.items() for x in kv])
     rows = raw.select(
-        parts[0].alias("subcorpus"), F.coalesce(language[parts[0]], F.lit("")).alias("corpus_language"), F.element_at(parts, -2).alias("document_id"),
-        F.when(year != "", year.cast("int")).alias("year"), F.concat(F.lit("gt4_"), F.substring(F.sha1(relative), 1, 16), F.lit("_"), safe).alias("line_id"),
-        F.regexp_replace("value", r"[\r\n]+$", "").alias("reference"), plain.alias("gt_path"), stem.alias("__stem"), F.regexp_replace(plain, "[^/]+$", "").alias("__dir"),
+        F.lit(benchmark).alias("benchmark"), parts[0].alias("subcorpus"), F.coalesce(language[parts[0]], F.lit("")).alias("corpus_language"), document.alias("document_id"),
+        F.when(year != "", year.cast("int")).alias("year"), F.concat(F.lit("gt4_"), F.substring(F.sha1(base), 1, 16), F.lit("_"), safe).alias("line_id"),
+        F.regexp_replace(F.regexp_replace("value", "^\ufeff", ""), r"[\r\n]+$", "").alias("reference"), "gt_path", base.alias("__base"),
     )
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select(F.regexp_replace("path", "^file:/*", "/").alias("p"))
-    rank = F.lit(None).cast("int")
-    cut = F.lit(None).cast("string")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select(_relative(_plain_path(F.col("path")), root).alias("p"))
+    rank, cut = F.lit(None).cast("int"), F.lit(None).cast("string")
     for i, s in reversed(list(enumerate(IMAGE_SUFFIXES))):
         rank, cut = F.when(F.col("p").endswith(s), i).otherwise(rank), F.when(F.col("p").endswith(s), F.expr(f"substring(p, 1, length(p) - {len(s)})")).otherwise(cut)
     images = files.select("p", rank.alias("r"), cut.alias("__base")).filter("r is not null").groupBy("__base").agg(F.min_by("p", "r").alias("image_path"))
-    out = rows.withColumn("__base", F.concat("__dir", "__stem")).join(images, "__base", "left").drop("__base", "__stem", "__dir")
-    return out.filter("image_path is not null") if require_image else out.fillna("", ["image_path"])
+    out = rows.join(images, "__base", "left").drop("__base")
+    if not raw.limit(1).count():
+        raise ValueError(f"no line files were found under {root}")
+    if require_image and (lost := out.filter("image_path is null").select("gt_path").limit(1).collect()):
+        raise ValueError(f"{lost[0].gt_path} has no image")
+    return out.fillna("", ["image_path"])
+
+
+def write_files(files: DataFrame, root: str) -> DataFrame:
+    """Writes (path, content) rows, the path below root; gives (path, size) of what was written.  A task that runs again
+    writes the same files again.  root may be on any file system that pyarrow knows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, base = pa.fs.FileSystem.from_uri(root) if "://" in root or root.startswith("file:") else (pa.fs.LocalFileSystem(), root)
+        for b in batches:
+            paths, sizes = b.column(0).to_pylist(), []
+            for path, content in zip(paths, b.column(1).to_pylist(), strict=True):
+                full = f"{base.rstrip('/')}/{path}"
+                fs.create_dir(full.rsplit("/", 1)[0], recursive=True)
+                with fs.open_output_stream(full) as f:
+                    f.write(content)
+                sizes.append(len(content))
+            yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(sizes, pa.int64())], names=["path", "size"])
+
+    return files.select("path", F.col("content").cast("binary").alias("content")).mapInArrow(run, "path string, size long")
+
+
+def _xml(text: Column) -> Column:
+    for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("\t", "&#9;"), ("\n", "&#10;"), ("\r", "&#13;")):
+        text = F.replace(text, F.lit(a), F.lit(b))
+    return text
+
+
+def alto_pages(lines: DataFrame) -> DataFrame:
+    """(path, content) of an ALTO page for each document_id and page_id of lines (line_id, image, hpos, vpos, width, height, and
+    reference, whose null leaves a line without text, as for a recognition run); write_files() writes them.
+
+    A page has the lines of one file, so it is put together in one place."""
+    number = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    box = F.concat(*[x for c in ("hpos", "vpos", "width", "height") for x in (F.lit(f' {c.upper()}="'), number(c), F.lit('"'))])
+    text = F.when(F.col("reference").isNotNull(), F.concat(F.lit('<String CONTENT="'), _xml(F.col("reference")), F.lit('"/>'))).otherwise("")
+    line = F.concat(F.lit('<TextLine ID="'), _xml(F.col("line_id")), F.lit('"'), box, F.lit(">"), text, F.lit("</TextLine>"))
+    image = _xml(F.col("image")) if "image" in lines.columns else F.lit("")
+    page = lines.groupBy("document_id", "page_id").agg(F.min(image).alias("image"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("vpos", "line_id", line.alias("xml")))), lambda x: x["xml"]), "\n").alias("body"))
+    head = '<?xml version="1.0" encoding="UTF-8"?>\n<alto xmlns="http://www.loc.gov/standards/alto/ns-v4#"><Description><MeasurementUnit>pixel</MeasurementUnit><sourceImageInformation><fileName>'
+    content = F.concat(F.lit(head), "image", F.lit("</fileName></sourceImageInformation></Description><Layout><Page><PrintSpace><TextBlock>\n"), "body", F.lit("\n</TextBlock></PrintSpace></Page></Layout></alto>\n"))
+    return page.select(F.concat("document_id", F.lit("/"), "page_id", F.lit(".xml")).alias("path"), content.alias("content"))
 
 
 def png_sizes(spark: SparkSession, root: str) -> DataFrame:

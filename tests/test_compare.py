@@ -155,3 +155,9 @@ def test_manifest_checks(spark):
         policy_swap.attach_manifest(spark.createDataFrame([("zz",)], "system string"), m)
     with pytest.raises(ValueError, match="twice"):
         policy_swap.attach_manifest(x, m.unionByName(m))
+    with pytest.raises(ValueError, match="locked twice"):
+        policy_swap.freeze_revisions(m, spark.createDataFrame([("a/b", "1"), ("a/b", "2")], "model_id string, revision string"))
+    rows = [("a", "org/x", "TO_FREEZE"), ("b", "org/x", "r1"), ("c", "local", "TO_FREEZE"), ("d", "org/y", "TO_FREEZE"), ("e", None, "TO_FREEZE")]
+    open_ = spark.createDataFrame(rows, "system string, model_id string, revision string")
+    got = {r.system: r.revision for r in policy_swap.freeze_revisions(open_, spark.createDataFrame([("org/x", "sha"), ("local", "no")], "model_id string, revision string")).collect()}
+    assert got == {"a": "sha", "b": "r1", "c": "TO_FREEZE", "d": "TO_FREEZE", "e": "TO_FREEZE"}

@@ -36,8 +36,7 @@ def test_alto(spark, tmp_path):
     assert set(got) == {"l1", "l2", "al1", "al2"} and got["l1"].reference == "one two" and got["l1"].hpos == 10
     assert (got["l2"].hpos, got["l2"].vpos, got["l2"].width, got["l2"].height) == (5, 40, 75, 15)
     assert (got["l1"].document_id, got["l1"].page_id) == ("doc a", "p1")
-    pages = ground_truth.attach_images(sources.read_alto(spark, str(tmp_path)), sources.find_images(spark, str(tmp_path)))
-    found = {r.page_id: r.image_path for r in pages.collect()}
+    found = {r.page_id: r.image_path for r in ground_truth.attach_images(sources.read_alto(spark, str(tmp_path)), str(tmp_path)).collect()}
     assert found["p1"].endswith("p1.png") and found["p2"] == ""
     assert sources.png_sizes(spark, str(tmp_path)).first()[1:] == (7, 9)
     (tmp_path / "doc a" / "p3.xml").write_text(alto())
@@ -45,11 +44,55 @@ def test_alto(spark, tmp_path):
         sources.read_alto(spark, str(tmp_path))
 
 
-def test_predictions_and_table(spark, tmp_path):
+def test_image_lookup(spark, tmp_path):
+    gt, images = tmp_path / "gt", tmp_path / "images"
+    for d in ("a", "b"):
+        (gt / d).mkdir(parents=True)
+        (images / d).mkdir(parents=True)
+    (images / "other").mkdir()
+    for name in ("a/beside", "a/mirrored", "a/unique", "b/none", "b/twice"):
+        (gt / f"{name}.xml").write_text(alto().replace('ID="l', f'ID="{name}').replace("l1", "1"))
+    (gt / "a" / "beside.webp").write_bytes(b"x")
+    (gt / "a" / "beside.JPG").write_bytes(b"x")
+    (images / "a" / "beside.png").write_bytes(b"x")
+    (images / "a" / "mirrored.tif").write_bytes(b"x")
+    (images / "b" / "mirrored.tif").write_bytes(b"x")
+    (images / "other" / "unique.png").write_bytes(b"x")
+    pages = sources.read_alto(spark, str(gt))
+    got = {r.page_id: r.image_path for r in sources.attach_images(pages, str(gt), str(images)).collect()}
+    assert got == {"beside": str(gt / "a" / "beside.JPG"), "mirrored": str(images / "a" / "mirrored.tif"), "unique": str(images / "other" / "unique.png"), "none": "", "twice": ""}
+    assert {r.image_path for r in sources.attach_images(pages, str(gt)).collect()} == {str(gt / "a" / "beside.JPG"), ""}
+    for d in ("a", "other"):
+        (images / d / "twice.png").write_bytes(b"x")
+    with pytest.raises(Exception, match="several images are called twice"):
+        sources.attach_images(pages, str(gt), str(images)).collect()
+
+
+def test_alto_writer(spark, tmp_path):
+    lines = spark.createDataFrame([("d", "p1", "l1", 'a "b" <c> & d', 1.0, 2.0, 3.0, 4.0), ("d", "p1", "l2", None, 1.0, 5.0, 3.0, 4.0), ("e", "p1", "l3", "", 0.0, 0.0, 7.0, 9.0)],
+                                  "document_id string, page_id string, line_id string, reference string, hpos double, vpos double, width double, height double").withColumn("image", F.concat("page_id", F.lit(".png")))
+    assert {r.path for r in sources.write_files(sources.alto_pages(lines), str(tmp_path)).collect()} == {"d/p1.xml", "e/p1.xml"}
+    sources.write_files(sources.alto_pages(lines), f"file://{tmp_path}").collect()  # again, the same files
+    got = {r.line_id: r for r in sources.read_alto(spark, str(tmp_path)).collect()}
+    assert {k: (r.reference, r.document_id, r.vpos) for k, r in got.items()} == {"l1": ('a "b" <c> & d', "d", 2.0), "l2": ("", "d", 5.0), "l3": ("", "e", 0.0)}
+    text = (tmp_path / "d" / "p1.xml").read_text()
+    assert "<fileName>p1.png</fileName>" in text and text.index('ID="l1"') < text.index('ID="l2"') and text.count("<String") == 1
+
+
+def test_predictions_and_table(spark, tmp_path, monkeypatch):
     (tmp_path / "a.json").write_text(json.dumps({"1": "x", "2": None}))
     (tmp_path / "b.json").write_text(json.dumps([{"id": "1", "text": "y"}, {"line_id": "2", "prediction": "z"}]))
     p = sources.load_predictions(spark, {"A": str(tmp_path / "a.json"), "B": str(tmp_path / "b.json")})
     assert {(r.system, r.line_id): r.prediction for r in p.collect()} == {("A", "1"): "x", ("A", "2"): "", ("B", "1"): "y", ("B", "2"): "z"}
+    (tmp_path / "c.jsonl").write_text('{"line_id": "1", "prediction": "x"}\n{"id": "2", "text": ""}\n')
+    assert {r.line_id: r.prediction for r in sources.load_predictions(spark, {"C": str(tmp_path / "c.jsonl")}).collect()} == {"1": "x", "2": ""}
+    (tmp_path / "d.jsonl").write_text('{"line_id": "1"}\n')
+    with pytest.raises(Exception, match="without a text"):
+        sources.load_predictions(spark, {"D": str(tmp_path / "d.jsonl")}).collect()
+    monkeypatch.setattr("collatio.sources.predictions.MOST_BYTES", 3)
+    with pytest.raises(ValueError, match="write it as .jsonl"):
+        sources.load_predictions(spark, {"A": str(tmp_path / "a.json")})
+    monkeypatch.undo()
     with pytest.raises(ValueError, match="object of line ids"):
         sources.load_predictions(spark, {"B": str(tmp_path / "b.json")}, strict=True)
     gt = spark.createDataFrame([("1", "d", "r1"), ("2", "d", "r2")], "line_id string, document_id string, reference string")
@@ -57,13 +100,13 @@ def test_predictions_and_table(spark, tmp_path):
     with pytest.raises(ValueError, match="missing 1 ground-truth line"):
         sources.build_table(gt, p.filter("not (system = 'A' and line_id = '2')"))
     assert sources.build_table(gt, p.filter("not (system = 'A' and line_id = '2')"), allow_missing=True).filter("prediction = ''").count() == 1
-    with pytest.raises(ValueError, match="absent from ground truth"):
+    with pytest.raises(ValueError, match="ground truth lacks"):
         sources.build_table(gt.limit(1), p)
     meta = spark.createDataFrame([("1", "Latin")], "line_id string, language string")
     assert {r.language for r in sources.build_table(gt, p, metadata=meta).collect()} == {"Latin", ""}
     with pytest.raises(ValueError):
         sources.build_table(gt, p, metadata=meta.withColumnRenamed("language", "system"))
-    with pytest.raises(ValueError, match="Manifest missing columns"):
+    with pytest.raises(ValueError, match="manifest of lines lacks"):
         sources.join_manifest(gt, p)
     whole = gt.withColumns({"benchmark": F.lit("b"), "subcorpus": F.lit("s"), "image_path": F.lit("")})
     assert sources.join_manifest(whole, p).count() == 4
@@ -77,11 +120,30 @@ def test_line_pairs(spark, tmp_path):
             for i in range(3):
                 (d / f"0000{i}.gt.txt").write_text("text\r\n")
                 (d / f"0000{i}.nrm.png").write_bytes(png(3, 4))
+    (tmp_path / "root.gt.txt").write_text("left out")
+    (tmp_path / "dta19" / "flat.gt.txt").write_bytes("\ufeffflat\n".encode())
+    (tmp_path / "dta19" / "flat.tif").write_bytes(b"x")
+    deep = tmp_path / "dta19" / "1882-x" / "deep er"
+    deep.mkdir()
+    (deep / "a b.gt.txt").write_text("deep")
+    (deep / "a b.png").write_bytes(png(1, 1))
     rows = sources.scan_pairs(spark, str(tmp_path)).collect()
-    assert len(rows) == 12 and len({r.line_id for r in rows}) == 12 and {r.year for r in rows} == {1882, None}
-    one = next(r for r in rows if r.gt_path.endswith("dta19/1882-x/00001.gt.txt"))
-    assert (one.corpus_language, one.reference, one.document_id) == ("German", "text", "1882-x")
-    assert one.line_id == "gt4_" + hashlib.sha1(b"dta19/1882-x/00001.gt.txt").hexdigest()[:16] + "_00001" and one.image_path.endswith("00001.nrm.png")
+    assert len(rows) == 14 and len({r.line_id for r in rows}) == 14 and {r.year for r in rows} == {1882, None}
+    by = {r.gt_path: r for r in rows}
+    one = by["dta19/1882-x/00001.gt.txt"]
+    assert (one.corpus_language, one.reference, one.document_id, one.image_path) == ("German", "text", "1882-x", "dta19/1882-x/00001.nrm.png")
+    assert one.line_id == "gt4_" + hashlib.sha1(b"dta19/1882-x/00001").hexdigest()[:16] + "_00001"
+    flat, nested = by["dta19/flat.gt.txt"], by["dta19/1882-x/deep er/a b.gt.txt"]
+    assert (flat.document_id, flat.reference, flat.image_path) == ("dta19", "flat", "dta19/flat.tif")
+    assert nested.document_id == "1882-x" and nested.line_id == "gt4_" + hashlib.sha1(b"dta19/1882-x/deep er/a b").hexdigest()[:16] + "_a_b"
+    (deep / "c.gt.txt").write_text("no image")
+    with pytest.raises(ValueError, match="c.gt.txt has no image"):
+        sources.scan_pairs(spark, str(tmp_path))
+    assert {r.image_path for r in sources.scan_pairs(spark, str(tmp_path), require_image=False).collect() if r.reference == "no image"} == {""}
+    (tmp_path / "empty").mkdir()
+    (tmp_path / "empty" / "x.txt").write_text("x")
+    with pytest.raises(ValueError, match="no line files"):
+        sources.scan_pairs(spark, str(tmp_path / "empty"))
     digests = sources.hash_files(spark, str(tmp_path / "dta19" / "y")).collect()
     assert len(digests) == 6 and digests[0].digest == hashlib.sha256(b"text\r\n").hexdigest()
 
@@ -89,11 +151,15 @@ def test_line_pairs(spark, tmp_path):
 def test_csv(spark, tmp_path):
     f = tmp_path / "x.csv"
     f.write_bytes("﻿a,b,c\n\"x \"\"q\"\"\",\"\",NA\n\"two\nlines\",,1\n".encode())
-    df = sources.read_csv(spark, str(f), "a string, b string, c int")
+    df = sources.read_csv(spark, str(f), "a string, b string, c int", multi_line=True)
     assert df.columns == ["a", "b", "c"]
     assert [tuple(r) for r in df.collect()] == [('x "q"', "", None), ("two\nlines", None, 1)]
     sources.write_csv(df, str(tmp_path / "out"), single=True)
-    assert [tuple(r) for r in sources.read_csv(spark, str(tmp_path / "out"), "a string, b string, c int").collect()] == [tuple(r) for r in df.collect()]
+    assert [tuple(r) for r in sources.read_csv(spark, str(tmp_path / "out"), "a string, b string, c int", multi_line=True).collect()] == [tuple(r) for r in df.collect()]
+    g = tmp_path / "y.csv"
+    g.write_text("a,b\n 1 ,x\n2,NA\n")
+    plain = sources.read_csv(spark, str(g))
+    assert plain.dtypes == [("a", "string"), ("b", "string")] and [tuple(r) for r in plain.collect()] == [(" 1 ", "x"), ("2", None)]
     sources.write_table(df, str(tmp_path / "t"), ("c",))
     assert spark.read.parquet(str(tmp_path / "t")).count() == 2
 
