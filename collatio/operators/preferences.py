@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import math
 from typing import NamedTuple
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -67,14 +69,28 @@ def wilson(k: Column, n: Column) -> tuple[Column, Column]:
     return F.when(n > 0, F.greatest(F.lit(0.0), middle - half)), F.when(n > 0, F.least(F.lit(1.0), middle + half))
 
 
+def _beta_part(x: float, a: float, b: float) -> float:
+    """The regularised incomplete beta function, by its continued fraction."""
+    if x <= 0 or x >= 1:
+        return float(x >= 1)
+    if x > (a + 1) / (a + b + 2):
+        return 1 - _beta_part(1 - x, b, a)
+    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)) / a
+    tiny, c, d, f = 1e-300, 1.0, 0.0, 1.0
+    for i in range(10_000):
+        m = i // 2
+        step = 1.0 if i == 0 else m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)) if i % 2 == 0 else -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
+        d = 1 / ((1 + step * d) or tiny)
+        c = (1 + step / c) or tiny
+        f *= c * d
+        if abs(1 - c * d) < 1e-15:
+            break
+    return front * (f - 1)
+
+
 def _beta_tail(k: int, n: int, p: float) -> float:
     """Probability of at least k successes of n."""
-    from math import exp, lgamma, log, log1p
-
-    if p <= 0 or p >= 1:
-        return float(p >= 1 or k == 0)
-    terms = [lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * log(p) + (n - i) * log1p(-p) for i in range(k, n + 1)]
-    return sum(map(exp, terms))
+    return 1.0 if k <= 0 else 0.0 if k > n else _beta_part(p, k, n - k + 1)
 
 
 def exact_interval(k: int, n: int, level: float = 0.95) -> tuple[float | None, float | None]:
@@ -93,6 +109,11 @@ def exact_interval(k: int, n: int, level: float = 0.95) -> tuple[float | None, f
     return (0.0 if k == 0 else solve(lambda p: _beta_tail(k, n, p) < tail), 1.0 if k == n else solve(lambda p: 1 - _beta_tail(k + 1, n, p) > tail))
 
 
+def _exact(k: pa.Array, n: pa.Array) -> pa.Array:
+    ends = [exact_interval(x, y) for x, y in zip(k.to_pylist(), n.to_pylist(), strict=True)]
+    return pa.StructArray.from_arrays([pa.array([e[i] for e in ends], pa.float64()) for i in (0, 1)], names=["low", "high"])
+
+
 def preference_summary(d: DataFrame, method: str = "wilson") -> DataFrame:
     """One row per model and unordered pair of conditions of unblinded items."""
     c1, c2 = F.least("condition_A", "condition_B"), F.greatest("condition_A", "condition_B")
@@ -110,7 +131,7 @@ def preference_summary(d: DataFrame, method: str = "wilson") -> DataFrame:
     if method == "wilson":
         (low, high), names = wilson(k, m), ("condition_1_wilson_low", "condition_1_wilson_high")
     elif method == "exact":
-        ends = F.udf(exact_interval, "struct<low:double,high:double>")(k, m)  # one row a group
+        ends = F.arrow_udf(_exact, "struct<low:double,high:double>")(k, m)
         (low, high), names = (ends["low"], ends["high"]), ("condition_1_conf_low", "condition_1_conf_high")
     else:
         raise ValueError("method must be wilson or exact")

@@ -1,4 +1,4 @@
-"""The two analyses from a recognition table to a folder of result tables.
+"""The analyses from a recognition table to a folder of result tables.
 
 The evaluation is written first and read by everything after it, so texts are aligned once for rates and once for spans."""
 
@@ -6,7 +6,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-from collatio.operators import annotate, compare, diagnostics, policy_swap
+from collatio.operators import annotate, compare, diagnostics, policy_swap, preferences
 from collatio.operators.evaluate import evaluate_recognition
 from collatio.operators.summarise import error_profile, summarise_recognition
 from collatio.policy import EvalPolicy
@@ -67,3 +67,23 @@ def run_policy_swap(table: DataFrame, manifest: DataFrame, out: str, policy: Eva
     done["changed_outputs"] = _written(policy_swap.changed_outputs(e, order="input_row"), out, "changed_outputs")
     done["manifest"] = _written(run_manifest(x, n_boot=n_boot, seed=seed), out, "manifest")
     return done
+
+
+def run_preference_batch(changed: DataFrame, out: str, n: int = 300, seed: int = 2027) -> dict[str, DataFrame]:
+    """From the changed outputs of a policy swap to what annotators get and the key that joins it back, written apart."""
+    batch = preferences.prepare_preference_batch(changed, n, seed, tuple(c for c in METADATA if c in changed.columns and c not in ("document_id", "model", *policy_swap.MANIFEST)))
+    done = {"preference_items": _written(batch.items, out, "preference_items"), "preference_key": _written(batch.key, out, "preference_key")}
+    done["manifest"] = _written(changed.sparkSession.createDataFrame([(done["preference_items"].count(), n, seed)], "n_items long, n_wanted int, seed int"), out, "preference_manifest")
+    return done
+
+
+def run_preference_analysis(labels: DataFrame, key: DataFrame, out: str, method: str = "wilson") -> dict[str, DataFrame]:
+    """From labelled items and their key to the unblinded items, the summary, the relation of labels and rates, and the
+    items where they disagree."""
+    d = _written(preferences.unblind(labels, key), out, "preferences_unblinded")
+    if not d.limit(1).count():
+        raise ValueError("no item has a label")
+    done = {"preferences_unblinded": d, "preference_summary": _written(preferences.preference_summary(d, method), out, "preference_summary")}
+    done["human_cer_relation"] = _written(preferences.relation_table(d, zero_fill=True), out, "human_cer_relation")
+    done["disagreements"] = _written(preferences.disagreements(d), out, "disagreements")
+    return done

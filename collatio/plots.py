@@ -26,16 +26,48 @@ def error_profile_data(x: DataFrame, group: str | None = None, percent: bool = T
     return wide.unpivot(["group_value", "metric"], kinds, "error_type", "rate")
 
 
-def draw_comparison(x: DataFrame, percent: bool = True):
-    """A figure of points and error bars, if matplotlib is installed."""
+#: Rows that a figure shows; more raise, as no reader could tell them apart.
+MOST_ROWS = 10_000
+
+
+def _plt():
     try:
         import matplotlib.pyplot as plt
     except ImportError as e:
-        raise RuntimeError("drawing needs matplotlib; comparison_data has what it would show") from e
-    rows = comparison_data(x, percent).orderBy("comparison", "metric").limit(10_000).collect()
-    figure, axes = plt.subplots()
+        raise RuntimeError("drawing needs matplotlib; the data functions have what it would show") from e
+    return plt
+
+
+def _shown(data: DataFrame, *order: str) -> list:
+    rows = data.orderBy(*order).limit(MOST_ROWS + 1).collect()
+    if len(rows) > MOST_ROWS:
+        raise ValueError(f"more than {MOST_ROWS} rows to draw")
+    return rows
+
+
+def draw_comparison(x: DataFrame, percent: bool = True):
+    """A figure of points and error bars, if matplotlib is installed."""
+    rows = _shown(comparison_data(x, percent), "comparison", "metric")
+    figure, axes = _plt().subplots()
     for i, r in enumerate(rows):
         axes.errorbar([r.difference_plot], [i], xerr=[[r.difference_plot - r.conf_low_plot], [r.conf_high_plot - r.difference_plot]], fmt="o")
     axes.set_yticks(range(len(rows)), [f"{r.comparison}, {r.metric}" for r in rows])
     axes.axvline(0)
     return figure
+
+
+def draw_error_profile(x: DataFrame, group: str | None = None, percent: bool = True):
+    """A figure of stacked bars, one panel a metric and one bar a group, if matplotlib is installed."""
+    rows = _shown(error_profile_data(x, group, percent), "metric", "group_value", "error_type")
+    metrics = list(dict.fromkeys(r.metric for r in rows))
+    figure, panels = _plt().subplots(1, max(1, len(metrics)), squeeze=False)
+    for axes, metric in zip(panels[0], metrics, strict=False):
+        groups = list(dict.fromkeys(str(r.group_value) for r in rows if r.metric == metric))
+        base = dict.fromkeys(groups, 0.0)
+        for kind in ("deletion", "insertion", "substitution"):
+            heights = {str(r.group_value): r.rate or 0.0 for r in rows if r.metric == metric and r.error_type == kind}
+            axes.bar(groups, [heights.get(g, 0.0) for g in groups], bottom=[base[g] for g in groups], label=kind)
+            base = {g: base[g] + heights.get(g, 0.0) for g in groups}
+        axes.set_title(metric)
+        axes.legend()
+    return figure

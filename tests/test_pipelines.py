@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from collatio.operators.policy_swap import MANIFEST
 from collatio.plans import pipelines, registry
@@ -26,5 +27,20 @@ def test_run_policy_swap(spark, tmp_path):
         pipelines.run_policy_swap(table(spark), manifest.replace("r", "q", ["revision"]).unionByName(manifest).filter("system = 'n' and revision = 'q' or system = 'm' and revision = 'r'"), str(tmp_path))
 
 
+def test_preferences_from_batch_to_summary(spark, tmp_path):
+    manifest = spark.createDataFrame([("n", "M", "f", "neutral", "neutral", "id", "r", None), ("m", "M", "f", "x", "matched", "id", "r", "p")], ", ".join(f"{c} string" for c in MANIFEST))
+    changed = pipelines.run_policy_swap(table(spark), manifest, str(tmp_path / "a"), n_boot=5)["changed_outputs"]
+    batch = pipelines.run_preference_batch(changed, str(tmp_path / "b"), n=4)
+    assert batch["preference_items"].count() == batch["preference_key"].count() == batch["manifest"].first().n_items == 4
+    assert not {"system_A", "condition_A"} & set(batch["preference_items"].columns)
+    labels = batch["preference_items"].withColumn("preferred_output", F.when(F.col("annotation_id") == "pref_000001", "tie").otherwise("A"))
+    for method in ("wilson", "exact"):
+        done = pipelines.run_preference_analysis(labels, batch["preference_key"], str(tmp_path / method), method)
+        r = done["preference_summary"].first()
+        assert (r.n_labelled, r.n_decisive, r.n_tie) == (4, 3, 1) and done["human_cer_relation"].count() == 4
+    with pytest.raises(ValueError, match="no item has a label"):
+        pipelines.run_preference_analysis(batch["preference_items"], batch["preference_key"], str(tmp_path / "c"))
+
+
 def test_every_oracle_has_a_query():
     assert set(registry.ORACLE) <= set(registry.QUERIES) and len(registry.QUERIES) >= 38
