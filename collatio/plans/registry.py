@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from collatio import plots
 from collatio.functions.align import COUNTS, SPAN_FIELDS, align_text, edit_counts, output_distance
-from collatio.functions.text import normalize_text, tokenize
+from collatio.functions.text import collapse_tokens, normalize_and_tokenize, normalize_text, tokenize
 from collatio.operators import annotate, compare, diagnostics, policy_swap, preferences, sampling
 from collatio.operators.evaluate import evaluate_recognition, normalization_sensitivity
 from collatio.operators.summarise import error_profile, summarise_recognition, summarise_sets
@@ -262,12 +262,16 @@ def changed_outputs(spark, d):
     return _rounded(policy_swap.changed_outputs(_with_models(spark, d), unpaired="drop"), "target_delta_b_minus_a")
 
 
-@query(_with(sql.RECOG, "outs AS (SELECT a.line_id, a.system AS system_a, b.system AS system_b, a.prediction AS reference, b.prediction FROM recog a JOIN recog b ON a.line_id = b.line_id AND a.system = '" + PAIR[0] + "' AND b.system = '" + PAIR[1] + "')",
-    sql.counts("far", "outs", STRICT, "grapheme")) + "SELECT line_id, system_a, system_b, CASE WHEN greatest(n, m) = 0 THEN 0.0 ELSE dist::DOUBLE / greatest(n, m) END AS output_distance FROM outs JOIN far USING (reference, prediction)")
+_OUTS = "outs AS (SELECT a.line_id, a.system AS system_a, b.system AS system_b, a.prediction AS reference, b.prediction FROM recog a JOIN recog b ON a.line_id = b.line_id AND a.system < b.system)"
+
+
+@query(_with(sql.RECOG, _OUTS, sql.counts("far", "outs", STRICT, "grapheme"))
+       + "SELECT line_id, system_a, system_b, CASE WHEN greatest(n, m) = 0 THEN 0.0 ELSE dist::DOUBLE / greatest(n, m) END AS output_distance FROM outs JOIN far USING (reference, prediction)")
 def output_distances(spark, d):
+    """The distance of the outputs of every pair of systems, line by line."""
     rows = recognition(spark, d)
-    a, b = (rows.filter(F.col("system") == s).select("line_id", F.col("system").alias(f"system_{n}"), F.col("prediction").alias(n)) for n, s in zip("ab", PAIR, strict=True))
-    return a.join(b, "line_id").select("line_id", "system_a", "system_b", output_distance("a", "b").alias("output_distance"))
+    a, b = (rows.select("line_id", F.col("system").alias(f"system_{n}"), F.col("prediction").alias(n)) for n in "ab")
+    return a.join(b, "line_id").filter("system_a < system_b").select("line_id", "system_a", "system_b", output_distance("a", "b").alias("output_distance"))
 
 
 _SCRIPT = (sql.RECOG, sql.scripts("script", "recog", STRICT, "grapheme"))
@@ -319,6 +323,28 @@ def fidelity_annotation_items(spark, d):
     return annotate.prepare_fidelity_annotation(x, keep=["language", "script_type"], strata=["system", "language"], n=400, context=8, seed=SEED).items
 
 
+@query(_with(sql.RECOG) + """SELECT model, prompt_condition, count(DISTINCT system) AS n_systems FROM recog JOIN (SELECT system, 'all' AS model, coalesce(prompt_condition, 'none') AS prompt_condition FROM systems_manifest) USING (system)
+  GROUP BY ALL HAVING count(DISTINCT system) > 1""")
+def condition_conflicts(spark, d):
+    """Conditions that stand for several systems once all models are taken for one."""
+    manifest = table(spark, d, "systems_manifest").select("system", F.lit("all").alias("model"), F.coalesce("prompt_condition", F.lit("none")).alias("prompt_condition"))
+    return policy_swap.condition_conflicts(recognition(spark, d).join(F.broadcast(manifest), "system"))
+
+
+@query(_with(sql.RECOG, sql.evaluated(metrics=("cer",)), _SWAP, _CHANGED) + """SELECT line_id, system_a, system_b, a.model_id AS model_id_a, a.revision AS revision_a, a.prompt_policy AS prompt_policy_a, a.prompt_file AS prompt_file_a,
+  b.model_id AS model_id_b, b.revision AS revision_b, b.prompt_policy AS prompt_policy_b, b.prompt_file AS prompt_file_b FROM changed LEFT JOIN systems_manifest a ON a.system = system_a LEFT JOIN systems_manifest b ON b.system = system_b""")
+def pair_provenance(spark, d):
+    pairs = policy_swap.changed_outputs(_with_models(spark, d), unpaired="drop").select("line_id", "system_a", "system_b")
+    return policy_swap.add_provenance(pairs, table(spark, d, "systems_manifest"))
+
+
+@query(f"SELECT row_id, nullif(array_to_string({sql.tokens('prediction', RELAXED, 'word')}, ' '), NULL) AS words, array_to_string({sql.tokens('prediction', STRICT, 'grapheme')}, '') AS graphemes FROM {PREDICTIONS} WHERE prediction IS NOT NULL")
+def collapsed_tokens(spark, d):
+    """Token lists put together again, words with spaces, graphemes without."""
+    rows = table(spark, d, PREDICTIONS).filter("prediction is not null")
+    return rows.select("row_id", collapse_tokens(normalize_and_tokenize("prediction", RELAXED, "word"), "wer").alias("words"), collapse_tokens(normalize_and_tokenize("prediction", STRICT)).alias("graphemes"))
+
+
 @query("SELECT label, behavior_group, requires_image, " + "CASE label " + " ".join(f"WHEN '{label}' THEN '{text.replace(chr(39), chr(39) * 2)}'" for label, _, text in annotate.CODEBOOK) + " END AS definition FROM fidelity_codebook")
 def fidelity_codebook(spark, d):
     """The codebook as annotators get it; labels, groups and flags are those of the table, definitions are this library's own."""
@@ -422,6 +448,11 @@ def preference_summary(spark, d):
     return _rounded(out, "condition_1_preference_rate", "condition_1_wilson_low", "condition_1_wilson_high", "human_vs_cer_agreement")
 
 
+@query(_with(*_PREF_CTES, _UNBLIND) + "SELECT annotation_id, model, condition_A, condition_B, pref AS preferred_output, cer AS cer_preferred_output FROM rel WHERE human_cer_relation = 'disagree'")
+def preference_disagreements(spark, d):
+    return preferences.disagreements(_unblinded(spark, d)).select("annotation_id", "model", "condition_A", "condition_B", "preferred_output", "cer_preferred_output")
+
+
 @query(_with(*_PREF_CTES, _UNBLIND) + "SELECT model, human_cer_relation, count(*) AS n FROM rel GROUP BY ALL")
 def human_vs_cer_relation(spark, d):
     return preferences.relation_table(_unblinded(spark, d))
