@@ -34,6 +34,7 @@ def _patterns() -> dict[str, str]:
         "safe": "^(?:" + "|".join(x if x.endswith(")") else f"{x}++" for x in chars.safe_classes()) + ")*+\\z",
         "foreign": foreign,
         "mixed": "|".join(f"[{c[a]}]{inside}*+[{c[b]}]" for a, b in pairs),
+        "not_foreign": f"[^{foreign[1:-1]}]",
         "hard": f"[{foreign[1:-1]}&&[^{''.join(x for a in ('greek', 'cyrillic') for x in chars.lookalikes()[a])}]]",
         **{f"not_{a}": f"[{c['latin']}&&[^{''.join(x for x in chars.lookalikes()[a].values())}]]" for a in ("greek", "cyrillic")},
         "word": f"(?:\\p{{L}}|{inside})++|[^\\p{{L}}]",
@@ -85,16 +86,14 @@ def clean_texts(texts: DataFrame) -> DataFrame:
     table, marks = _maps(spark)
     key = F.struct(F.xxhash64("text").alias("a"), F.hash("text").alias("b"), F.length("text").alias("n"))
     distinct = texts.select("text").distinct().withColumn(_KEY, key).repartition(_KEY)
-    mixes = F.col("text").rlike(p["foreign"]) & F.col("text").rlike(p["mixed"])
-    around = {f"in_{a}": F.when(mixes, _count(F.col("text"), a)) for a in ("latin", "greek", "cyrillic")}
-    words = distinct.select(_KEY, *[c.alias(k) for k, c in around.items()], F.posexplode(F.regexp_extract_all("text", F.lit(p["word"]), F.lit(0))).alias("word_pos", "word"))
+    # whether a text has more Latin letters than others; only asked where it has others
+    in_latin = F.coalesce(F.when(F.col("text").rlike(p["foreign"]), _count(F.col("text"), "latin") > F.length(F.regexp_replace("text", p["not_foreign"], ""))), F.lit(False))
+    words = distinct.select(_KEY, in_latin.alias("in_latin"), F.posexplode(F.regexp_extract_all("text", F.lit(p["word"]), F.lit(0))).alias("word_pos", "word"))
     n = {a: _count(F.col("word"), a) for a in ("latin", "greek", "cyrillic")}
-    # a word that can be read in Latin is Latin among Latin words; else it belongs to its commonest alphabet, but never to
-    # one that lacks some of its Latin letters
-    other = lambda a: F.col(f"in_{a}") - n[a]
+    # in a Latin text a word that can be read in Latin is Latin; else it belongs to its commonest alphabet, but never to one
+    # that lacks some of its Latin letters
     main = (
-        F.when(~F.col("word").rlike(p["hard"]) & (other("latin") > 0) & (other("latin") >= other("greek")) & (other("latin") >= other("cyrillic")), "latin")
-        .when((n["latin"] >= n["greek"]) & (n["latin"] >= n["cyrillic"]), "latin")
+        F.when(F.col("in_latin") & ~F.col("word").rlike(p["hard"]) | (n["latin"] >= n["greek"]) & (n["latin"] >= n["cyrillic"]), "latin")
         .when(n["greek"] >= n["cyrillic"], F.when(F.col("word").rlike(p["not_greek"]), "latin").otherwise("greek"))
         .otherwise(F.when(F.col("word").rlike(p["not_cyrillic"]), "latin").otherwise("cyrillic"))
     )
