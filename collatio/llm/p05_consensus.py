@@ -132,7 +132,7 @@ def fit(rows: DataFrame, names: list[str], n_labels: int, iterations: int = ITER
         yield pa.RecordBatch.from_arrays([pa.array(x) for x in (seen, truthful[seen], given[seen], weight[seen])], names=["cell", "t", "n", "w"])
 
     for _ in range(iterations if names else 0):
-        sums = rows.select("who", "label").mapInArrow(step, "cell long, t double, n double, w double").groupBy("cell").agg(F.sum("t").alias("t"), F.sum("n").alias("n"), F.sum("w").alias("w")).toPandas()
+        sums = rows.select("who", "label").mapInArrow(step, "cell long, t double, n double, w double").groupBy("cell").agg(F.sum("t").alias("t"), F.sum("n").alias("n"), F.sum("w").alias("w")).toArrow().to_pandas()
         truthful, weight = np.zeros(len(names) * n_labels), np.zeros(n_labels)
         n = np.zeros(len(names) * n_labels)
         truthful[sums.cell], n[sums.cell] = sums.t, sums.n
