@@ -137,7 +137,7 @@ def _replicates(units: DataFrame, groups: list[str], parts: list[str], estimand:
     The units' sums go to the tasks, each of which draws some replicates for all groups: groups of one size share their
     draws, whose counts times the sums are one matrix product.  No draw is ever a row."""
     spark = units.sparkSession
-    few = units.select(*groups, "__unit", *parts).limit(MOST_UNITS + 1).toPandas()
+    few = units.select(*groups, "__unit", *parts).limit(MOST_UNITS + 1).toArrow().to_pandas()
     if len(few) > MOST_UNITS:
         return None
     few = few.assign(__null=few["__unit"].notna()).sort_values(["__null", "__unit"], kind="stable")
