@@ -4,8 +4,6 @@ All of them take whole texts; their cost is stated with each."""
 
 from __future__ import annotations
 
-import re
-
 
 def prefix_distances(pattern: str, text: str) -> list[int]:
     """Edit distances of the whole pattern to every prefix of the text, the empty one first.
