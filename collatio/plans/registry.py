@@ -156,7 +156,7 @@ def sensitivity_policies(spark, d):
 
 def _paired(spark, d):
     x = evaluation(spark, d, keep=["document_id"], once=True)
-    return compare.common_observations(x, PAIR, ["document_id", "line_id"])
+    return cut_lineage(compare.common_observations(x, PAIR, ["document_id", "line_id"]))  # read by the checks and by the comparison
 
 
 _SIDES = ", ".join(f"sum(CASE WHEN system = '{s}' THEN {c} ELSE 0 END) AS {k}_{n}" for n, s in zip("ab", PAIR, strict=True) for k, c in (("ref", "n_reference"), ("ins", "insertions"), ("dist", "distance")))
