@@ -1,8 +1,8 @@
 """Template residue, filler, error messages and script notices in place of content.
 
 Method: character n-gram models of placeholders, filler, notices and natural prose.  The residue models start from general
-seed text (residue_text), natural prose from a bounded seeded sample of the corpus; what the seeds find in that sample
-with certainty is learnt as residue in the corpus's own words, what they doubt is left out of natural prose, and the
+seed text (residue_text), natural prose from all different texts of the corpus; what the seeds find in them with
+certainty is learnt as residue in the corpus's own words, what they doubt is left out of natural prose, and the
 models are fitted again.  Texts are scored whole: the likelihood ratios of their n-grams are added up over windows.  A
 window is a sentence, a stretch within one whose ratios exceed the threshold by most in sum, or, for placeholders, what
 stands between delimiters; for these the pattern of the delimiters is one more feature.  Windows over the threshold are
@@ -11,8 +11,9 @@ residue, and a document is excluded by the share of it that they cover.
 No list decides: a year, a name or a turn of speech only adds to or takes from a sum.  The one exact check is of quoting: a
 placeholder between quotation marks is a text's subject, not its residue.
 
-The fitted tables have a fixed size (2 ** BITS numbers an order and kind), whatever the corpus; scoring is a projection
-in NumPy over whole batches of texts.
+The fitted tables have a fixed size (2 ** BITS numbers an order and kind) whatever the corpus, besides a number for each
+different pattern of delimiters; counting and scoring are projections in NumPy over whole batches of texts.  Sentences
+are counted in whole units, so that the models don't depend on order or partitions.
 
 Defined results: null and empty texts hold no residue (coverage 0); very long texts are scored whole; repeated rows
 are all listed; other columns, of whatever name, are kept by kept() and not read otherwise; with an empty table the
@@ -25,39 +26,43 @@ import math
 import re
 import unicodedata
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from collatio.llm.chars import INVISIBLE_RANGES, _skeleton, lookalikes
 from collatio.llm.residue_text import STRONG, seeds
+from collatio.sources import cut_lineage
 
 #: The models, and what a window of each is called: mock Latin and what page builders say are both filler.
 CLASSES = ("placeholder", "filler", "mock", "notice")
 KINDS = ("placeholder", "filler", "filler", "notice")
 OF_SENTENCES = (1, 2, 3)
-#: Different texts that the model of natural prose is fitted on, by the order of a seeded hash.
+#: Different texts of sample(), by the order of a seeded hash, and characters of each from a seeded place.
 NATURAL_SAMPLE = 4_000
-#: Characters of a sampled text that are fitted on: of a longer one a window that begins at a seeded place in it.
 NATURAL_CHARS = 4_000
-#: How often a sentence of the sample counts, numbers aside.
-MOST_SAME = 4
+#: Counts of a larger corpus are rates for so many texts: what the thresholds are set for, whatever the number of texts.
+PER_TEXTS = 4_000
+#: What all sentences that are the same, numbers aside, count together at most, and the units of such weights.
+MOST_SAME, UNIT = 4, 1 << 30
 BITS = 19
+#: Units of ratios where they are added up exactly.
+FINE = 1 << 20
 ORDERS = (3, 5)
 #: Mean likelihood ratio (natural logarithm, per n-gram) from which a sentence is residue, and the least sum.
 THRESHOLD, LEAST_SUM = 0.5, 8.0
-#: Ratios from which a sentence of the sample is learnt as residue, or not taken for natural prose.
+#: Ratios from which a sentence of the corpus is learnt as residue, or not taken for natural prose.
 SURE, DOUBT = 0.8, 0.3
 ROUNDS = 3
 #: Grams of the shortest stretch within a sentence, and the sum by which its ratios must exceed the threshold.
 STRETCH, EVIDENCE = 18, 28.0
 #: Share of a residue window's n-grams that the residue model must know.
 KNOWN = 0.5
-#: Share of a sampled sentence's n-grams in the seeds from which it isn't natural prose before the first fit.
+#: Share of a sentence's n-grams in the seeds from which it isn't natural prose before the first fit.
 MADE_UP = 0.7
 #: Score from which what stands between delimiters is a placeholder: ratio of the pattern and mean ratio of the n-grams.
 PLACEHOLDER, CONTENT = 1.0, 1.5
@@ -81,6 +86,7 @@ _FOREIGN = re.compile("[Ͱ-ԯ]")
 _WORD = re.compile(r"[^\W\d_]+")
 _DIGIT = re.compile(r"\d")
 _NUMBER = re.compile(r"\S*\d\S*")
+_STRONG = tuple(a for a, _ in STRONG)
 
 
 def fold(text: str) -> str:
@@ -156,11 +162,6 @@ def _counts(groups: list[list[str]]) -> np.ndarray:
     return out
 
 
-def _sample_counts(pieces: list[str]) -> np.ndarray:
-    codes = _codes(" ".join(f" {x} " for x in pieces))
-    return np.stack([np.bincount(_hashes(codes, o), minlength=1 << BITS) for o in ORDERS]).astype(float)
-
-
 def _ratios(residue: list[np.ndarray], natural: np.ndarray) -> np.ndarray:
     table = np.zeros((len(ORDERS), 1 << BITS, len(KINDS)), dtype=np.float32)
     for i in range(len(ORDERS)):
@@ -174,34 +175,102 @@ def _ratios(residue: list[np.ndarray], natural: np.ndarray) -> np.ndarray:
 
 
 def _span_ratios(placeholder: Counter, natural: Counter) -> tuple[dict[str, float], float]:
-    n, m, kinds = sum(placeholder.values()), sum(natural.values()), len(placeholder.keys() | natural.keys()) + 1
+    n, m, kinds = math.fsum(placeholder.values()), math.fsum(natural.values()), len(placeholder.keys() | natural.keys()) + 1
     log = lambda p: math.log((placeholder[p] + 0.01) / (n + 0.01 * kinds) / ((natural[p] + 0.01) / (m + 0.01 * kinds)))
     return {p: min(3.0, max(-3.0, log(p))) for p in placeholder.keys() | natural.keys()}, min(0.0, log(""))
 
 
-def _share(piece: str, known: np.ndarray) -> float:
-    """Share of the n-grams of a piece that are known; short pieces have none."""
-    grams = _hashes(_codes(piece), ORDERS[-1])
-    return float(known[grams].mean()) if len(grams) >= STRETCH else 0.0
-
-
-def fit(texts: list[str]) -> Model:
-    """The models, from the seeds and a sample of texts."""
-    sentences: Counter[str] = Counter()
-    spans: Counter[str] = Counter()
-    kept: list[str] = []
-    held: dict[str, set[str]] = {}  # what stands between delimiters in a sentence
-    for t in texts:
-        plain = _plain(t)
-        for a, b in _pieces(plain):
-            piece = " ".join(plain[a:b].lower().split())
-            same = _NUMBER.sub("0", piece)
-            sentences[same] += 1
-            if piece and sentences[same] <= MOST_SAME:
-                kept.append(piece)
-                if _SIGN.search(piece):
-                    held.setdefault(piece, set()).update(_spans(plain[a:b]))
-        spans.update(_spans(plain))
+def _parts(text: str) -> Iterator[tuple[bool, str, str]]:
+    """(whether a span, what is the same, as it stands) of the sentences of a text and its spans between brackets."""
+    plain = _plain(text)
+    for a, b in _pieces(plain):
+        if piece := " ".join(plain[a:b].split()):
+            yield False, _NUMBER.sub("0", piece.lower()), piece
+    if _SIGN.search(plain):
+        for x in _spans(plain):
+            if x[0] in "[{<" and not x.startswith(_STRONG):  # what brackets mean depends on the corpus, what strong delimiters mean doesn't
+                yield True, x, x
+
+
+class Tally:
+    """Weighted counts, in units: n-grams of natural prose and of what is learnt for each of OF_SENTENCES, and patterns of
+    placeholders and of other marks.  Without a model a sentence that the known n-grams don't make up is natural prose."""
+
+    def __init__(self, model: Model | None, known: np.ndarray) -> None:
+        self.model, self.known = model, known
+        self.grams = np.zeros((1 + len(OF_SENTENCES), len(ORDERS), 1 << BITS))
+        self.patterns: tuple[Counter, Counter] = Counter(), Counter()
+
+    def add(self, rows: Iterable[tuple[bool, str, int]]) -> Tally:
+        """Adds (whether a span, text, weight)."""
+        block: list[tuple[str, int]] = []
+        size = 0
+        for span, text, weight in rows:
+            if span:
+                self._span(text, weight)
+                continue
+            if block and size + len(text) > BLOCK:
+                self._sentences(block)
+                block, size = [], 0
+            block.append((text, weight))
+            size += len(text)
+        if block:
+            self._sentences(block)
+        return self
+
+    def _span(self, span: str, weight: int) -> None:
+        # those between sure and certainly none count for neither
+        if self.model and ((score := span_score(span, self.model)) >= 2 * PLACEHOLDER or score <= 0):
+            self.patterns[score <= 0][pattern(span)] += weight
+
+    def _sentences(self, rows: list[tuple[str, int]]) -> None:
+        pieces = [x.lower() for x, _ in rows]
+        size, flat = _flat(pieces)
+        hashes = [_hashes(flat, o) for o in ORDERS]
+        start = np.cumsum(size) - size
+        if self.model is None:
+            # a residue text that the corpus holds in many versions would pass for prose: what the seeds' n-grams make up waits
+            n = np.maximum(0, size - 3 - ORDERS[-1] + 1)
+            run = np.cumsum([0, *self.known[hashes[-1]]])
+            label = np.where((n >= STRETCH) & (run[start + 1 + n] - run[start + 1] >= MADE_UP * n), -1, 0)
+        else:
+            found = _mean_ratios(size, flat, self.model, hashes)
+            best, kind = found.max(axis=1), found.argmax(axis=1)
+            # a sentence too short to be learnt, such as a heading, isn't doubted either
+            label = np.where((best < DOUBT) | (size - 3 < STRETCH), 0, -1)
+            for i in np.flatnonzero(label == 0):
+                if _SIGN.search(rows[i][0]) and any(span_score(x, self.model) >= PLACEHOLDER for x in _spans(rows[i][0])):
+                    label[i] = -1
+            for g, k in enumerate(OF_SENTENCES, 1):
+                label[(kind == k) & (best >= SURE) & (size - 3 >= STRETCH)] = g
+        weight = np.array([w for _, w in rows], float)
+        owner = np.repeat(np.arange(len(rows)), size)
+        left = (start + size)[owner] - np.arange(len(owner))  # characters of the piece from here on
+        for g in np.unique(label[label >= 0]):
+            for i, o in enumerate(ORDERS):
+                at = np.flatnonzero((label[owner] == g) & (left >= o))
+                self.grams[g, i] += np.bincount(hashes[i][at], weights=weight[owner[at]], minlength=1 << BITS)
+
+    def rows(self) -> pa.Table:
+        """(slot, pattern, n): slots are places in grams, or -1 and -2 for the patterns of placeholders and of marks."""
+        flat = self.grams.ravel()
+        at = np.flatnonzero(flat)
+        marks = [(-1 - i, p, n) for i, c in enumerate(self.patterns) for p, n in c.items()]
+        slots = np.concatenate([at, np.array([x[0] for x in marks], np.int64)])
+        n = np.concatenate([flat[at].astype(np.int64), np.array([x[2] for x in marks], np.int64)])
+        return pa.table({"slot": slots, "pattern": pa.array([None] * len(at) + [x[1] for x in marks], pa.string()), "n": n})
+
+    def put(self, rows: pa.Table) -> Tally:
+        """The sums of rows() of all tasks."""
+        slot, n = rows["slot"].to_numpy(), rows["n"].to_numpy()
+        self.grams.ravel()[slot[slot >= 0]] = n[slot >= 0]
+        for r in rows.filter(pa.array(slot < 0)).to_pylist():
+            self.patterns[-1 - r["slot"]][r["pattern"]] = r["n"]
+        return self
+
+
+def _fit(count: Callable[[Model | None, np.ndarray], Tally]) -> Model:
+    """The models, from the seeds and the counts that a model (none at first) leads to."""
     base = [_counts([[fold(x) for x in forms] for forms in seeds(k)]) for k in CLASSES]
     telling = _counts([[fold(x) for x in forms] for forms in seeds("natural")])
     seeded = Counter()
@@ -209,39 +278,86 @@ def fit(texts: list[str]) -> Model:
         for p in map(pattern, forms):
             seeded[p] += 20 / len(forms)
     marks = Counter(pattern(m) for forms in seeds("natural") for x in forms for m in _spans(x))
-    # a residue text that the corpus holds in many versions would pass for prose: what the seeds' n-grams make up waits
     known = np.stack([b[-1] > 0 for b in base[1:]]).any(axis=0)
-    model = Model(_ratios(base, telling + _sample_counts([x for x in kept if _share(x, known) < MADE_UP])), *_span_ratios(seeded, marks))
-    strong = tuple(a for a, _ in STRONG)
+    model = Model(_ratios(base, telling + count(None, known).grams[0] / UNIT), *_span_ratios(seeded, marks))
     for _ in range(ROUNDS):
-        found = _sentence_ratios(kept, model)
-        best = found.max(axis=1)
-        learnt = [[], *([x for x, r in zip(kept, found, strict=True) if r[k] == max(r) and r[k] >= SURE and len(x) >= STRETCH] for k in OF_SENTENCES)]
-        natural = [x for x, r in zip(kept, best, strict=True) if r < DOUBT]
-        # spans of the sample: those between sure and certainly none count for neither
-        scored = {s: span_score(s, model) for s in spans}
-        sure, mark = seeded.copy(), marks.copy()
-        for s, n in spans.items():
-            if s[0] in "[{<" and not s.startswith(strong):  # what brackets mean depends on the corpus, what strong delimiters mean doesn't
-                (sure if scored[s] >= 2 * PLACEHOLDER else mark if scored[s] <= 0 else Counter())[pattern(s)] += min(n, MOST_SAME)
-        open_ = {s for s in spans if scored[s] >= PLACEHOLDER}
-        natural = [x for x in natural if not held.get(x, set()) & open_]
-        counts = _sample_counts(natural)
-        # the seeds that tell of residue weigh as much as a hundredth of the sample
+        got = count(model, known)
+        sure, mark = (seen + Counter({p: n / UNIT for p, n in own.items()}) for seen, own in zip((seeded, marks), got.patterns, strict=True))
+        counts, *learnt = got.grams / UNIT
+        # the seeds that tell of residue weigh as much as a hundredth of the corpus
         weight = max(1.0, counts.sum() / telling.sum() / 100)
-        own = [_counts([[x] for x in y]) for y in learnt]
+        own = [np.zeros_like(counts), *learnt]
         # what was learnt weighs as much as the seeds at most
         own = [b + o * min(1.0, b.sum() / max(1.0, o.sum())) for b, o in zip(base, own, strict=True)]
         model = Model(_ratios(own, counts + telling * weight), *_span_ratios(sure, mark))
     return model
 
 
-def _sums(flat: np.ndarray, model: Model) -> tuple[np.ndarray, np.ndarray]:
+def fit(texts: list[str]) -> Model:
+    """The models, from the seeds and texts."""
+    parts = Counter(x for t in texts for x in _parts(t))
+    same: Counter[tuple[bool, str]] = Counter()
+    for (span, key, _), n in parts.items():
+        same[span, key] += n
+    rate = PER_TEXTS / max(PER_TEXTS, len(texts))
+    rows = [(span, own, math.floor(n * min(rate, MOST_SAME / same[span, key]) * UNIT)) for (span, key, own), n in parts.items()]
+    return _fit(lambda model, known: Tally(model, known).add(rows))
+
+
+def _weighted(documents: DataFrame) -> DataFrame:
+    """(span, own, weight) of the different parts of all different texts, written."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block: list[tuple[bool, str, str]] = []
+        size = 0
+        for t in (t for b in batches for t in b.column(0).to_pylist()):
+            block += _parts(t)
+            size += len(t)
+            if size > BLOCK:
+                yield batch(block)
+                block, size = [], 0
+        if block:
+            yield batch(block)
+
+    def batch(rows: list[tuple[bool, str, str]]) -> pa.RecordBatch:
+        span, same, own = zip(*rows, strict=True) if rows else ((), (), ())
+        return pa.RecordBatch.from_arrays([pa.array(span, pa.bool_()), pa.array(same, pa.string()), pa.array(own, pa.string())], names=["span", "same", "own"])
+
+    texts = documents.filter("text is not null").select("text")
+    rate = PER_TEXTS / max(PER_TEXTS, texts.select(F.xxhash64("text")).distinct().count())
+    parts = texts.distinct().mapInArrow(run, "span boolean, same string, own string")
+    n = parts.select("span", F.xxhash64("same").alias("same"), "own").groupBy("span", "same", "own").agg(F.count("*").alias("n"))
+    most = F.lit(float(MOST_SAME)) / F.sum("n").over(Window.partitionBy("span", "same"))
+    return cut_lineage(n.select("span", "own", F.floor(F.col("n") * F.least(F.lit(rate), most) * F.lit(float(UNIT))).alias("weight")))
+
+
+def fitted(documents: DataFrame) -> Model:
+    """The models, from the seeds and all different texts of the documents: what fit() has, counted by tasks."""
+    spark = documents.sparkSession
+    parts = _weighted(documents)
+
+    def count(model: Model | None, known: np.ndarray) -> Tally:
+        shared = spark.sparkContext.broadcast((model, known))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            tally = Tally(*shared.value)
+            for b in batches:
+                tally.add(zip(*(c.to_pylist() for c in b.columns), strict=True))
+            yield from tally.rows().to_batches(1 << 16)
+
+        rows = parts.mapInArrow(run, "slot long, pattern string, n long").groupBy("slot", "pattern").agg(F.sum("n").alias("n")).toArrow()
+        shared.destroy()
+        return Tally(model, known).put(rows)
+
+    return _fit(count)
+
+
+def _sums(flat: np.ndarray, model: Model, hashes: list[np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(ratios, known) of each n-gram of the longest order and kind: the mean over the orders, and whether residue has it."""
     n = max(0, len(flat) - ORDERS[-1] + 1)
     total, known = np.zeros((n, len(KINDS)), np.float32), np.zeros((n, len(KINDS)), bool)
     for i, o in enumerate(ORDERS):
-        part = model.ratios[i][_hashes(flat, o)[:n]]
+        part = model.ratios[i][(hashes[i] if hashes else _hashes(flat, o))[:n]]
         total += part
         if o == ORDERS[-1]:
             known = part > 0
@@ -249,16 +365,24 @@ def _sums(flat: np.ndarray, model: Model) -> tuple[np.ndarray, np.ndarray]:
     return total, known
 
 
-def _sentence_ratios(pieces: list[str], model: Model) -> np.ndarray:
-    """(piece, kind) mean ratio of each piece."""
-    size = np.array([len(x) + 3 for x in pieces])
-    flat = _codes(" ".join(f" {x} " for x in pieces) + " " * ORDERS[-1])
+def _flat(pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(size of each piece with the spaces around it, code points of all)."""
+    return np.array([len(x) + 3 for x in pieces], dtype=np.int64), _codes("".join(f" {x}  " for x in pieces) + " " * ORDERS[-1])
+
+
+def _mean_ratios(size: np.ndarray, flat: np.ndarray, model: Model, hashes: list[np.ndarray] | None = None) -> np.ndarray:
+    """(piece, kind) mean ratio of each piece of _flat()."""
     run = np.zeros((len(flat) + 1, len(KINDS)))
-    sums, _ = _sums(flat, model)
-    np.cumsum(sums, axis=0, out=run[1 : len(sums) + 1])
+    sums, _ = _sums(flat, model, hashes)
+    np.cumsum(np.rint(sums.astype(float) * FINE), axis=0, out=run[1 : len(sums) + 1])  # whole numbers: the pieces before don't matter
     start = np.cumsum(size) - size
     n = np.maximum(1, size - 5)  # grams that begin before the last two letters
-    return (run[start + n] - run[start]) / n[:, None] if len(pieces) else np.zeros((0, len(KINDS)))
+    return (run[start + n] - run[start]) / (n[:, None] * FINE)
+
+
+def _sentence_ratios(pieces: list[str], model: Model) -> np.ndarray:
+    """(piece, kind) mean ratio of each piece."""
+    return _mean_ratios(*_flat(pieces), model)
 
 
 def span_score(span: str, model: Model) -> float:
@@ -274,7 +398,7 @@ def span_score(span: str, model: Model) -> float:
 
 
 def sample(documents: DataFrame, seed: int = 2027) -> list[str]:
-    """The bounded sample for fitting: the first NATURAL_SAMPLE different texts in the order of a seeded hash of the text."""
+    """A look at a corpus, which the models don't rest on: the first NATURAL_SAMPLE different texts in the order of a seeded hash of the text."""
     h = F.xxhash64(F.lit(seed), "text")
     rows = documents.filter("text is not null").select(h.alias("h"), "text")
     start = F.pmod(F.xxhash64(F.lit(seed + 1), "text"), F.greatest(F.lit(1), F.length("text") - NATURAL_CHARS + 1)).cast("int") + 1
@@ -386,7 +510,7 @@ def examine(texts: list[str | None], model: Model) -> list[tuple[float, float, s
 def examined(documents: DataFrame, key: str = "doc_id", columns: tuple[str, ...] = ()) -> DataFrame:
     """(key, columns..., coverage, ratio, kind) of every document."""
     spark = documents.sparkSession
-    model = spark.sparkContext.broadcast(fit(sample(documents)))
+    model = spark.sparkContext.broadcast(fitted(documents))
     names = [f"__{i}" for i in range(1 + len(columns))]
     kinds = [documents.schema[c].dataType.simpleString() for c in (key, *columns)]
 

@@ -113,6 +113,27 @@ def test_sample_of_different_texts(spark):
     assert max(map(len, got)) == r.NATURAL_CHARS
 
 
+def test_models_rest_on_all_texts(spark, monkeypatch):
+    monkeypatch.setattr(r, "NATURAL_SAMPLE", 20)
+    monkeypatch.setattr(r, "NATURAL_CHARS", 50)
+    texts = sorted({*DOCUMENTS[:300], *(f"{x} {i}" for i in range(3) for x in HELD_OUT["notice"]), " ".join(NATURAL[:40])})
+    df = spark.createDataFrame([(i, t) for i, t in enumerate([*texts, *texts[:9], None, ""])], "doc_id long, text string")
+    want = r.examine(texts, r.fit(texts))
+    for n in (1, 5):
+        got = {x.doc_id: (x.coverage, x.ratio, x.kind) for x in r.examined(df.repartition(n)).collect()}
+        assert [got[i][::2] for i in range(len(texts))] == [x[::2] for x in want]
+        assert max(abs(got[i][1] - x[1]) for i, x in enumerate(want)) < 1e-9
+
+
+def test_counts_are_the_same_in_any_blocks(spark, monkeypatch):
+    texts = sorted({*DOCUMENTS[:200], "", "[a] and {b} and [[c]]"})
+    once = r.fit(texts)
+    monkeypatch.setattr(r, "BLOCK", 500)
+    model = r.fitted(spark.createDataFrame([(t,) for t in texts[::-1]], "text string").repartition(3))
+    for other in (r.fit(texts[::-1]), model):
+        assert (other.ratios == once.ratios).all() and other.patterns == once.patterns and other.other == once.other
+
+
 RUN = "the second annotator noted the reading next to the upper margin and the sheet was then bound with the other leaves of the same quire "
 
 
