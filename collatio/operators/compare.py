@@ -6,7 +6,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
@@ -96,8 +96,10 @@ def require_pairs(x: DataFrame, groups: Sequence[str], member: str, keys: Sequen
             raise ValueError(f"{message} ({n} pairs)")
 
 
-#: Rows of units that the driver collects and sends to the tasks (six numbers each, 24 MB); with more, units and draws meet in a join.
+#: Rows of units that the driver collects and sends to the tasks (six numbers each, 24 MB); with more, the units are dealt to tasks.
 MOST_UNITS = 500_000
+#: Units and groups that a task has at most where they are dealt, and draws that it makes.
+BLOCK, BLOCK_GROUPS, BLOCK_DRAWS = 500_000, 100, 200_000_000
 #: Draws that a task holds at a time.
 DRAWS = 2_000_000
 # Multipliers of the draws' hash, all below 2 ** 32 so that 64 bits hold each product.
@@ -111,16 +113,10 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint32(15))
 
 
-def draw_numbers(seed: int, reps: np.ndarray, n: int) -> np.ndarray:
-    """(rep, slot) unit numbers from 0 to n - 1: hash(seed, rep, slot) % n."""
+def draw_numbers(seed: int, reps: np.ndarray, n: int, slots: tuple[int, int] | None = None) -> np.ndarray:
+    """(rep, slot) unit numbers from 0 to n - 1: hash(seed, rep, slot) % n.  slots: some of them, from and below, instead of 1 to n."""
     base = _mix(((seed * OF_SEED + reps.astype(np.uint64) * np.uint64(OF_REP)) & np.uint64(_LOW)).astype(np.uint32))
-    return _mix(base[:, None] ^ np.arange(1, n + 1, dtype=np.uint32)[None, :]) % np.uint32(n)
-
-
-def _mix_column(h: Column) -> Column:
-    h = (h.bitwiseXOR(F.shiftright(h, 16)) * F.lit(MIX_A)).bitwiseAND(F.lit(_LOW))
-    h = (h.bitwiseXOR(F.shiftright(h, 15)) * F.lit(MIX_B)).bitwiseAND(F.lit(_LOW))
-    return h.bitwiseXOR(F.shiftright(h, 15))
+    return _mix(base[:, None] ^ np.arange(*(slots or (1, n + 1)), dtype=np.uint32)[None, :]) % np.uint32(n)
 
 
 def _rates(units: np.ndarray, estimand: str) -> np.ndarray:
@@ -172,30 +168,65 @@ def _replicates(units: DataFrame, groups: list[str], parts: list[str], estimand:
     return d.join(F.broadcast(table), "__g").drop("__g")
 
 
-def _joined_replicates(units: DataFrame, groups: list[str], parts: list[str], estimand: str, n_boot: int, seed: int) -> DataFrame:
-    """_replicates() for any number of units: they are numbered by range, no task sorts them all, and joined to the counted
-    draws of their number."""
+def _dealt_replicates(units: DataFrame, groups: list[str], parts: list[str], estimand: str, n_boot: int, seed: int) -> DataFrame:
+    """_replicates() for any number of units: they are numbered by range, no task sorts them all, and dealt to tasks.
+
+    A task has a block of the units of some groups of one size and some replicates. It makes all draws of these, and
+    multiplies the counts of those that fall into its block by the units' sums; what it finds is added over the blocks."""
     placed = number_rows(units, [*groups, "__unit"], "__place")
     ends = placed.groupBy(*groups).agg(F.min("__place").alias("__from"), F.count("*").alias("n_units")).withColumnsRenamed({g: f"__{g}" for g in groups})
+    n = F.col("n_units")
+    together = F.least(F.greatest(F.floor(F.lit(BLOCK) / n), F.lit(1)), F.lit(BLOCK_GROUPS))
+    ends = ends.withColumns({
+        "__some": F.floor((F.row_number().over(Window.partitionBy("n_units").orderBy("__from")) - 1) / together),
+        "__slices": F.least(F.ceil(n * n_boot / BLOCK_DRAWS), F.lit(n_boot)).cast("int"),
+    })
+    ends = cut_lineage(ends)  # a row a group, read three times
+    tasks = ends.groupBy("n_units", "__some").agg(F.first(F.ceil(n / BLOCK) * F.col("__slices")).alias("t")).agg(F.sum("t")).first()[0]
     on = F.lit(True)
     for g in groups:
         on &= F.col(g).eqNullSafe(F.col(f"__{g}"))
     placed = placed.join(F.broadcast(ends), on).withColumn("__at", F.col("__place") - F.col("__from"))
-    draws = ends.select("n_units").distinct().withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(n_boot)))).repartition("n_units", "rep")
-    base = _mix_column((F.lit(seed * OF_SEED) + F.col("rep").cast("long") * F.lit(OF_REP)).bitwiseAND(F.lit(_LOW)))
-    draws = draws.withColumn("base", base).withColumn("slot", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n_units"))))
-    draws = draws.select("n_units", "rep", (_mix_column(F.col("base").bitwiseXOR(F.col("slot"))) % F.col("n_units")).alias("__at")).groupBy("n_units", "rep", "__at").agg(F.count("*").alias("times"))
-    boot = placed.select(*groups, "n_units", "__at", *parts).join(draws, ["n_units", "__at"])
-    w = F.col("times")
-    return boot.groupBy(*groups, "rep").agg((_rate("b", estimand, w) - _rate("a", estimand, w)).alias("d"))
-
-
-def _rate(side: str, estimand: str, weight: Column | None = None) -> Column:
-    one = error_rate(f"dist_{side}", f"ref_{side}", f"ins_{side}")
-    w = weight if weight is not None else F.lit(1)
+    placed = placed.withColumns({"__block": F.floor(F.col("__at") / BLOCK), "__slice": F.explode(F.sequence(F.lit(0), F.col("__slices") - 1))})
+    task = ["n_units", "__some", "__block", "__slice"]
+    sums = [f"__s{i}" for i in range(2 if estimand == "macro" else 6)]
+
+    def run(t: pa.Table) -> pa.Table:
+        n, lo, first, slices = (t.column(c)[0].as_py() for c in ("n_units", "__block", "__slice", "__slices"))
+        lo *= BLOCK
+        width = min(BLOCK, n - lo)
+        names, group = np.unique(t.column("__from").to_numpy(), return_inverse=True)
+        s = np.zeros((width, len(names), len(sums)))
+        s[t.column("__at").to_numpy() - lo, group] = _rates(np.stack([t.column(c).to_numpy() for c in parts], axis=1).astype(float), estimand)
+        s = s.reshape(width, -1)
+        reps, found = np.arange(1 + first, n_boot + 1, slices), []
+        step, slots = max(1, DRAWS // max(n, width)), range(1, n + 1, DRAWS)
+        for k in range(0, len(reps), step):
+            some, times = reps[k : k + step], 0
+            for slot in slots:
+                at = draw_numbers(seed, some, n, (slot, min(slot + DRAWS, n + 1))).astype(np.int64) - lo
+                rep = np.broadcast_to(np.arange(len(some))[:, None] * width, at.shape)
+                inside = slice(None) if width == n else (at >= 0) & (at < width)
+                times = times + np.bincount((at + rep)[inside].ravel(), minlength=len(some) * width)
+            found.append((times.reshape(len(some), width) @ s).reshape(-1, len(sums)))
+        found = np.concatenate(found)
+        return pa.table([np.tile(names, len(reps)), np.repeat(reps, len(names)), *found.T], names=["__from", "rep", *sums])
+
+    placed = placed.select(*task, "__slices", "__from", "__at", *parts).repartition(2 * tasks, *task)
+    boot = placed.groupBy(*task).applyInArrow(run, "__from long, rep long, " + ", ".join(f"{c} double" for c in sums))
+    boot = boot.groupBy("__from", "rep").agg(*[F.sum(c).alias(c) for c in sums]).join(F.broadcast(ends), "__from")
+    if estimand == "macro":
+        d = (F.col("__s1") - F.col("__s0")) / n
+    else:
+        side = lambda i: F.when(F.col(f"__s{i}") == 0, F.col(f"__s{i + 1}")).otherwise(F.col(f"__s{i + 2}") / F.col(f"__s{i}"))
+        d = side(3) - side(0)
+    return boot.select(*[F.col(f"__{g}").alias(g) for g in groups], d.alias("d"))
+
+
+def _rate(side: str, estimand: str) -> Column:
     if estimand == "macro":
-        return F.sum(one * w) / F.sum(w)
-    s = {c: F.sum(F.col(f"{c}_{side}") * w) for c in ("ref", "ins", "dist")}
+        return F.avg(error_rate(f"dist_{side}", f"ref_{side}", f"ins_{side}"))
+    s = {c: F.sum(f"{c}_{side}") for c in ("ref", "ins", "dist")}
     return F.when(s["ref"] == 0, s["ins"].cast("double")).otherwise(s["dist"].cast("double") / s["ref"])
 
 
@@ -209,7 +240,7 @@ def _estimates(units: DataFrame, groups: list[str], estimand: str, n_boot: int,
     point = units.groupBy(*groups).agg(_rate("a", estimand).alias("estimate_a"), _rate("b", estimand).alias("estimate_b"), F.count("*").alias("n_units"))
     boot = _replicates(units, groups, parts, estimand, n_boot, seed)
     if boot is None:
-        boot = _joined_replicates(units, groups, parts, estimand, n_boot, seed)
+        boot = _dealt_replicates(units, groups, parts, estimand, n_boot, seed)
     low = (1 - conf_level) / 2
     ends = boot.groupBy(*[F.col(g).alias(f"__{g}") for g in groups]).agg(F.percentile("d", F.array(F.lit(low), F.lit(1 - low))).alias("e"))
     on = F.lit(True)

@@ -62,6 +62,21 @@ def test_all_pairs_with_null_units(spark, estimand, monkeypatch):
         assert all(v == pytest.approx(got[r.system_a, r.system_b][k], abs=1e-12) for k, v in r.asDict().items())
 
 
+@pytest.mark.parametrize("estimand", ["macro", "micro"])
+@pytest.mark.parametrize("sizes", [{}, {"BLOCK": 2, "BLOCK_GROUPS": 2, "BLOCK_DRAWS": 100, "DRAWS": 4}, {"BLOCK": 13, "DRAWS": 15}])
+def test_many_units_are_dealt(spark, estimand, sizes, monkeypatch):
+    x = random_rows(spark).filter("system <> 'C' or document_id <> 'd2' or document_id is null")  # groups of six and of five units
+    of = lambda: {(r.system_a, r.system_b): r.asDict() for r in compare.compare_all_pairs(x, estimand=estimand, n_boot=101, seed=3, unpaired="drop").collect()}
+    got = of()
+    assert sorted(r["n_units"] for r in got.values()) == [5, 5, 6]
+    for k, v in {"MOST_UNITS": 3, **sizes}.items():
+        monkeypatch.setattr(compare, k, v)
+    for pair, r in of().items():
+        assert all(v == pytest.approx(got[pair][k], abs=1e-12) for k, v in r.items())
+    plan = compare.compare_all_pairs(x, estimand=estimand, n_boot=101, seed=3, unpaired="drop")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Generate explode") == 1 and "FlatMapGroupsInArrow" in plan  # slices of replicates; a draw isn't a row
+
+
 def test_all_pairs_are_strict(spark):
     x = random_rows(spark)
     first = x.limit(1)
