@@ -82,9 +82,9 @@ def line_files_round_trip(spark, d):
 def file_digests(spark, d):
     """SHA-256 of every line file, and the size in the header of the image beside it."""
     root = _line_files(spark, d)
-    below = lambda c: ground_truth._relative(ground_truth._plain_path(F.col(c)), root)
-    digests = sources.hash_files(spark, root).select(below("path").alias("path"), "digest").filter(F.col("path").endswith(".gt.txt"))
-    sizes = sources.png_sizes(spark, root).select(F.regexp_replace(below("path"), r"\.nrm\.png$", ".gt.txt").alias("path"), "width", "height")
+    folders = ground_truth._folders(spark, root)
+    digests = ground_truth._digests(root, folders, (".gt.txt",)).select("path", "digest")
+    sizes = ground_truth._png_sizes(root, folders).select(F.regexp_replace("path", r"\.nrm\.png$", ".gt.txt").alias("path"), "width", "height")
     return digests.join(sizes, "path")
 
 

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.fs  # noqa: F401
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from collatio.sources.tables import cut_lineage
+
 _TEXT_LINE = (
     "_ID string, _HPOS string, _VPOS string, _WIDTH string, _HEIGHT string, Shape struct<Polygon: array<struct<_POINTS: string>>>,"
     " String array<struct<_CONTENT: string>>"
@@ -18,6 +21,8 @@ _TEXT_LINE = (
 LANGUAGES = {"dta19": "German", "EarlyModernLatin": "Latin", "Kallimachos": "German/Latin", "RefCorpus-ENHG-Incunabula": "German", "RIDGES-Fraktur": "German"}
 PAGE_SUFFIXES = (".jpg", ".jpeg", ".png", ".tif", ".tiff", ".webp")
 IMAGE_SUFFIXES = (".nrm.png", ".bin.png", ".png", ".tif", ".tiff")
+#: Paths that a task lists and bytes that it reads before it hands them on.
+BATCH_PATHS, BATCH_BYTES = 10_000, 4_000_000
 
 
 def _path(index: int) -> Column:
@@ -103,6 +108,75 @@ def attach_images(pages: DataFrame, gt_root: str, image_root: str | None = None)
     return out.withColumn("image_path", F.coalesce(found, F.lit(""))).drop("__folder", "__stem", "__beside", "__same", "__any", "__n")
 
 
+def _file_system(root: str) -> tuple[pa.fs.FileSystem, str]:
+    """The file system of root, and root there; any that pyarrow knows."""
+    fs, base = pa.fs.FileSystem.from_uri(root) if "://" in root or root.startswith("file:") else (pa.fs.LocalFileSystem(), root)
+    return fs, base.rstrip("/")
+
+
+def _listed(folders: DataFrame, root: str, kind: pa.fs.FileType) -> DataFrame:
+    """(path) of what lies right in the folders; these and the paths are below root."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, base = _file_system(root)
+        for b in batches:
+            for folder in b.column(0).to_pylist():
+                inside = fs.get_file_info(pa.fs.FileSelector(f"{base}/{folder}"))
+                paths = [f"{folder}/{x.base_name}".lstrip("/") for x in inside if x.type == kind]
+                for k in range(0, len(paths), BATCH_PATHS):
+                    yield pa.RecordBatch.from_arrays([pa.array(paths[k : k + BATCH_PATHS], pa.string())], names=["path"])
+
+    return _spread(folders).mapInArrow(run, "path string")
+
+
+def _spread(paths: DataFrame) -> DataFrame:
+    """Paths in equal parts: a folder of many files is listed by one task, but not read by one."""
+    return paths.repartition(4 * paths.sparkSession.sparkContext.defaultParallelism, "path")
+
+
+def _folders(spark: SparkSession, root: str) -> DataFrame:
+    """(path) of root ("") and every folder below it, listed by tasks, a level at a time."""
+    fs, base = _file_system(root)
+    if fs.get_file_info(base or "/").type != pa.fs.FileType.Directory:
+        raise FileNotFoundError(f"{root} is no folder")
+    level = found = spark.createDataFrame([("",)], "path string")
+    while not (level := cut_lineage(_listed(level, root, pa.fs.FileType.Directory))).isEmpty():
+        found = found.unionByName(level)
+    return found
+
+
+def _files(folders: DataFrame, root: str, suffixes: tuple[str, ...] = ("",)) -> DataFrame:
+    """(path) of the files in the folders whose names end in one of the suffixes.
+
+    Spark's own file sources keep all files' status in the driver and put a few small files in a task, which many thousands
+    of line files don't bear."""
+    right = F.lit(False)
+    for x in suffixes:
+        right |= F.col("path").endswith(x)
+    return _listed(folders, root, pa.fs.FileType.File).filter(right)
+
+
+def _contents(files: DataFrame, root: str, read: Callable[[pa.NativeFile], bytes]) -> DataFrame:
+    """(path, content): what read gets from each file."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, base = _file_system(root)
+        batch = lambda: pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(contents, pa.binary())], names=["path", "content"])
+        for b in batches:
+            paths, contents, size = [], [], 0
+            for path in b.column(0).to_pylist():
+                with fs.open_input_file(f"{base}/{path}") as f:
+                    contents.append(read(f))
+                paths.append(path)
+                size += len(contents[-1])
+                if size > BATCH_BYTES:
+                    yield batch()
+                    paths, contents, size = [], [], 0
+            yield batch()
+
+    return _spread(files).mapInArrow(run, "path string, content binary")
+
+
 def scan_pairs(spark: SparkSession, root: str, require_image: bool = True, benchmark: str = "") -> DataFrame:
     """Line files *.gt.txt under <root>/<subcorpus>/<document>/...: benchmark, subcorpus, corpus_language, document_id, year,
     line_id, reference, gt_path, image_path; paths are below root.
@@ -143,13 +217,17 @@ def write_files(files: DataFrame, root: str) -> DataFrame:
     writes the same files again.  root may be on any file system that pyarrow knows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs, base = pa.fs.FileSystem.from_uri(root) if "://" in root or root.startswith("file:") else (pa.fs.LocalFileSystem(), root)
+        fs, base = _file_system(root)
         for b in batches:
             paths, sizes = b.column(0).to_pylist(), []
             for path, content in zip(paths, b.column(1).to_pylist(), strict=True):
-                full = f"{base.rstrip('/')}/{path}"
-                fs.create_dir(full.rsplit("/", 1)[0], recursive=True)
-                with fs.open_output_stream(full) as f:
+                full = f"{base}/{path}"
+                try:
+                    f = fs.open_output_stream(full)
+                except FileNotFoundError:
+                    fs.create_dir(full.rsplit("/", 1)[0], recursive=True)
+                    f = fs.open_output_stream(full)
+                with f:
                     f.write(content)
                 sizes.append(len(content))
             yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(sizes, pa.int64())], names=["path", "size"])
@@ -179,9 +257,26 @@ def alto_pages(lines: DataFrame) -> DataFrame:
     return page.select(F.concat("document_id", F.lit("/"), "page_id", F.lit(".xml")).alias("path"), content.alias("content"))
 
 
+def _full(path: str, root: str) -> Column:
+    """A path below root as Spark's file sources name it."""
+    return F.concat(F.lit(f"{root.rstrip('/')}/" if "://" in root and not root.startswith("file:") else f"file:{_file_system(root)[1]}/"), path)
+
+
+def _sha256(f: pa.NativeFile) -> bytes:
+    digest = hashlib.sha256()
+    while part := f.read(BATCH_BYTES):
+        digest.update(part)
+    return digest.digest()
+
+
 def png_sizes(spark: SparkSession, root: str) -> DataFrame:
     """(path, width, height) from the headers of PNG files."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.png").load(root)
+    sizes = _png_sizes(root, _folders(spark, root))
+    return sizes.withColumn("path", _full("path", root))
+
+
+def _png_sizes(root: str, folders: DataFrame) -> DataFrame:
+    files = _contents(_files(folders, root, (".png",)), root, lambda f: f.read(24))
     number = lambda at: F.conv(F.hex(F.substring("content", at, 4)), 16, 10).cast("int")
     good = F.hex(F.substring("content", 1, 8)) == "89504E470D0A1A0A"
     return files.select("path", F.when(good, number(17)).alias("width"), F.when(good, number(21)).alias("height"))
@@ -189,5 +284,10 @@ def png_sizes(spark: SparkSession, root: str) -> DataFrame:
 
 def hash_files(spark: SparkSession, root: str) -> DataFrame:
     """(digest, path): the SHA-256 of every file under root."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    return files.select(F.sha2("content", 256).alias("digest"), "path").orderBy("path")
+    digests = _digests(root, _folders(spark, root))
+    return digests.select("digest", _full("path", root).alias("path")).orderBy("path")
+
+
+def _digests(root: str, folders: DataFrame, suffixes: tuple[str, ...] = ("",)) -> DataFrame:
+    digests = _contents(_files(folders, root, suffixes), root, _sha256)
+    return digests.select(F.lower(F.hex("content")).alias("digest"), "path")

@@ -148,6 +148,29 @@ def test_line_pairs(spark, tmp_path):
     assert len(digests) == 6 and digests[0].digest == hashlib.sha256(b"text\r\n").hexdigest()
 
 
+def tree(root, names):
+    (root / "sub" / "doc").mkdir(parents=True)
+    for name in names:
+        (root / "sub" / "doc" / f"{name}.gt.txt").write_bytes(f"{name}\n".encode())
+        (root / "sub" / "doc" / f"{name}.nrm.png").write_bytes(png(7, 9))
+
+
+def test_digests_of_many_files(spark, tmp_path):
+    names = ["100%", "a+b", "_x", ".y", "é z", *map(str, range(300))]
+    tree(tmp_path, names)
+    (tmp_path / "sub" / "doc" / "empty").write_bytes(b"")
+    got = {r.path: r.digest for r in sources.hash_files(spark, str(tmp_path)).collect()}
+    assert len(got) == 2 * len(names) + 1 and got[f"file:{tmp_path}/sub/doc/empty"] == hashlib.sha256(b"").hexdigest()
+    assert all(got[f"file:{tmp_path}/sub/doc/{n}.gt.txt"] == hashlib.sha256(f"{n}\n".encode()).hexdigest() for n in names)
+    sizes = {r.path: (r.width, r.height) for r in sources.png_sizes(spark, f"file://{tmp_path}").collect()}
+    assert sizes == {f"file:{tmp_path}/sub/doc/{n}.nrm.png": (7, 9) for n in names}
+    # no scan of Spark's, which lists in the driver and has a task for a few files; one task doesn't read a whole folder
+    digests = ground_truth._digests(str(tmp_path), ground_truth._folders(spark, str(tmp_path)))
+    assert "FileScan" not in digests._jdf.queryExecution().executedPlan().toString()
+    parts = [r.n for r in digests.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
+    assert len(parts) == 4 * spark.sparkContext.defaultParallelism and max(parts) < 100
+
+
 def test_csv(spark, tmp_path):
     f = tmp_path / "x.csv"
     f.write_bytes("﻿a,b,c\n\"x \"\"q\"\"\",\"\",NA\n\"two\nlines\",,1\n".encode())
