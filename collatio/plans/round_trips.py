@@ -54,13 +54,15 @@ def alto_round_trip(spark, d):
     return sources.read_alto(spark, path).drop("source_xml")
 
 
-def _line_files(spark, d) -> str:
-    """Writes the reference of every line with an image beside it; gives the folder."""
+def _line_files(spark, d, marked: bool = False) -> str:
+    """Writes the reference of every line with an image beside it; gives the folder.  marked: a text that begins with a byte
+    order mark gets another, as readers take a first one for the file's."""
     path = _folder(spark)
     folder = F.concat("subcorpus", F.lit("/d"), (1400 + F.length("document_id")).cast("string"), F.lit("_"), F.md5("document_id"), F.lit("/"), "line_id")
     lines = _lines(spark, d).filter("subcorpus is not null and document_id is not null")
+    mark = F.when(F.col("reference").startswith("\ufeff"), "\ufeff").otherwise("") if marked else F.lit("")
     kinds = F.explode(F.array(
-        F.struct(F.lit(".gt.txt").alias("suffix"), F.concat("reference", F.lit("\n")).cast("binary").alias("content")),
+        F.struct(F.lit(".gt.txt").alias("suffix"), F.concat(mark, "reference", F.lit("\n")).cast("binary").alias("content")),
         F.struct(F.lit(".nrm.png").alias("suffix"), F.unhex(F.lit("89504E470D0A1A0A0000000D49484452000000070000000908000000000000")).alias("content")),
     )).alias("f")
     ground_truth.write_files(lines.select(folder.alias("base"), kinds).select(F.concat("base", "f.suffix").alias("path"), "f.content"), path).count()
@@ -75,7 +77,7 @@ _FILED = f"filed AS (SELECT *, {_BASE} AS base FROM lines WHERE subcorpus IS NOT
   'gt4_' || substr(sha1(base), 1, 16) || '_' || substr(regexp_replace(line_id, '[^A-Za-z0-9_.-]+', '_', 'g'), 1, 40) AS line_id, reference, base || '.gt.txt' AS gt_path, base || '.nrm.png' AS image_path FROM filed""")
 def line_files_round_trip(spark, d):
     """Line files and their images, scanned."""
-    return sources.scan_pairs(spark, _line_files(spark, d), benchmark="lines")
+    return sources.scan_pairs(spark, _line_files(spark, d, marked=True), benchmark="lines")
 
 
 @query(_with(sql.RECOG, _LINES, _FILED) + "SELECT base || '.gt.txt' AS path, sha256(reference || chr(10)) AS digest, 7 AS width, 9 AS height FROM filed")

@@ -183,10 +183,9 @@ def scan_pairs(spark: SparkSession, root: str, require_image: bool = True, bench
 
     A file right in a subcorpus belongs to a document of that name, one right in root is left out.  No file at all raises,
     and so does, with require_image, a line without an image ("" otherwise)."""
-    raw = (
-        spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.gt.txt").text(root)
-        .select(F.col("value"), _relative(_plain_path(F.col("_metadata.file_path")), root).alias("gt_path"))
-    )
+    folders = _folders(spark, root)
+    texts = _contents(_files(folders, root, (".gt.txt",)), root, lambda f: f.read())
+    raw = texts.select(F.col("content").cast("string").alias("value"), F.col("path").alias("gt_path"))
     parts = F.split("gt_path", "/")
     raw = raw.filter(F.size(parts) >= 2)
     base = F.regexp_replace("gt_path", r"\.gt\.txt$", "")
@@ -199,13 +198,13 @@ def scan_pairs(spark: SparkSession, root: str, require_image: bool = True, bench
         F.when(year != "", year.cast("int")).alias("year"), F.concat(F.lit("gt4_"), F.substring(F.sha1(base), 1, 16), F.lit("_"), safe).alias("line_id"),
         F.regexp_replace(F.regexp_replace("value", "^\ufeff", ""), r"[\r\n]+$", "").alias("reference"), "gt_path", base.alias("__base"),
     )
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select(_relative(_plain_path(F.col("path")), root).alias("p"))
+    files = _files(folders, root, IMAGE_SUFFIXES).select(F.col("path").alias("p"))
     rank, cut = F.lit(None).cast("int"), F.lit(None).cast("string")
     for i, s in reversed(list(enumerate(IMAGE_SUFFIXES))):
         rank, cut = F.when(F.col("p").endswith(s), i).otherwise(rank), F.when(F.col("p").endswith(s), F.expr(f"substring(p, 1, length(p) - {len(s)})")).otherwise(cut)
     images = files.select("p", rank.alias("r"), cut.alias("__base")).filter("r is not null").groupBy("__base").agg(F.min_by("p", "r").alias("image_path"))
-    out = rows.join(images, "__base", "left").drop("__base")
-    if not raw.limit(1).count():
+    out = cut_lineage(rows.join(images, "__base", "left").drop("__base"))  # read by the checks too
+    if out.isEmpty():
         raise ValueError(f"no line files were found under {root}")
     if require_image and (lost := out.filter("image_path is null").select("gt_path").limit(1).collect()):
         raise ValueError(f"{lost[0].gt_path} has no image")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from collatio import plots, sources
 from collatio.operators.evaluate import evaluate_recognition
 from collatio.operators.summarise import summarise_recognition
+from collatio.plans import round_trips
 from collatio.sources import ground_truth, validate
 from collatio.streaming.recognition import drop_resent, evaluate_stream, summarise_stream
 
@@ -171,6 +172,18 @@ def test_digests_of_many_files(spark, tmp_path):
     assert len(parts) == 4 * spark.sparkContext.defaultParallelism and max(parts) < 100
 
 
+def test_queries_of_line_files(spark, tmp_path):
+    texts = {"1": "one", "100%": "two", "_x": "\ufefffour\ufeff", ".y": "", "a+b": "\ufeff"}
+    rows = [(i, k, "doc é", "sub", "s", v, "p", None) for i, (k, v) in enumerate(texts.items())]
+    columns = "row_id long, line_id string, document_id string, subcorpus string, system string, reference string, prediction string, loaded_at timestamp"
+    spark.createDataFrame(rows, columns).write.parquet(str(tmp_path / "catmus_medieval_controlled_predictions.parquet"))
+    base = f"sub/d1405_{hashlib.md5('doc é'.encode()).hexdigest()}/"
+    got = {r.gt_path: (r.reference, r.image_path, r.year) for r in round_trips.line_files_round_trip(spark, str(tmp_path)).collect()}
+    assert got == {f"{base}{k}.gt.txt": (v, f"{base}{k}.nrm.png", 1405) for k, v in texts.items()}
+    got = {r.path: (r.digest, r.width, r.height) for r in round_trips.file_digests(spark, str(tmp_path)).collect()}
+    assert got == {f"{base}{k}.gt.txt": (hashlib.sha256(f"{v}\n".encode()).hexdigest(), 7, 9) for k, v in texts.items()}
+
+
 def test_csv(spark, tmp_path):
     f = tmp_path / "x.csv"
     f.write_bytes("﻿a,b,c\n\"x \"\"q\"\"\",\"\",NA\n\"two\nlines\",,1\n".encode())
