@@ -30,7 +30,10 @@ _SPANS_ARROW = pa.list_(pa.struct([(n, _ARROW[t]) for n, t in SPAN_FIELDS]))
 
 
 def _pairs(refs: list, hyps: list, policy: EvalPolicy, unit: str) -> tuple[list[int], list]:
-    return _pairs_of(refs, hyps, [(policy, unit)] * len(refs))
+    """(rows without a null text, their token lists); a text that comes again, as a line's reference does, is split once."""
+    where = [i for i, (r, h) in enumerate(zip(refs, hyps, strict=True)) if r is not None and h is not None]
+    known = {x: kernel.tokenize(kernel.normalize(x, policy), unit) for x in {x for i in where for x in (refs[i], hyps[i])}}
+    return where, [(known[refs[i]], known[hyps[i]]) for i in where]
 
 
 def _pairs_of(refs: list, hyps: list, ways: list[tuple[EvalPolicy, str]]) -> tuple[list[int], list]:
@@ -72,18 +75,20 @@ def _lists(where: list[int], values: list[list[tuple]], n: int, kind: pa.ListTyp
 def cells(reference: str | Column, hypothesis: str | Column, wanted: Sequence[tuple[EvalPolicy, str]]) -> Column:
     """array<counts>: the counts under each (policy, unit), all in one pass; null where a text is null.
 
-    Equal cells are aligned once: policies that differ in nothing that matters cost nothing."""
+    Equal cells are aligned once: policies that differ in nothing that matters cost nothing, nor do equal pairs of a batch."""
     wanted = list(wanted)
     different = list(dict.fromkeys(wanted))
 
     @F.arrow_udf(f"array<{COUNTS_TYPE}>")
     def align(refs: pa.Array, hyps: pa.Array) -> pa.Array:
-        r, h = refs.to_pylist(), hyps.to_pylist()
+        place: dict[tuple, int] = {}
+        at = [place.setdefault(x, len(place)) for x in zip(refs.to_pylist(), hyps.to_pylist(), strict=True)]
+        r, h = [x for x, _ in place], [x for _, x in place]
         found, where = {}, []
         for policy, unit in different:
             where, pairs = _pairs(r, h, policy, unit)
             found[policy, unit] = kernel.counts(pairs)
-        return _lists(where, list(zip(*[found[w] for w in wanted], strict=True)), len(r), pa.list_(_COUNTS_ARROW))
+        return _lists(where, list(zip(*[found[w] for w in wanted], strict=True)), len(r), pa.list_(_COUNTS_ARROW)).take(pa.array(at, pa.int32()))
 
     return align(_col(reference), _col(hypothesis))
 

@@ -73,16 +73,13 @@ def require_pairs(x: DataFrame, groups: Sequence[str], member: str, keys: Sequen
     """Raise unless every member (a system, a condition) of a group has each observation once, with one reference text and
     length, and, unless unpaired is "drop", all members have the same observations.  Nulls are values of the key."""
     choice("unpaired", unpaired, ("raise", "drop"))
-    text = F.col("reference") if "reference" in x.columns else F.lit(None).cast("string")
-    seen = x.groupBy(*groups, *keys).agg(
-        F.count("*").alias("n"), F.countDistinct(member).alias("members"), F.min(F.coalesce(text, F.lit(""))).alias("t0"), F.max(F.coalesce(text, F.lit(""))).alias("t1"),
-        F.count(text).alias("texts"), F.min("n_reference").alias("l0"), F.max("n_reference").alias("l1"),
-    )
-    bad = {
-        "a member has several rows for the same pair": F.col("n") > F.col("members"),
-        "reference texts differ within a pair": (F.col("t0") != F.col("t1")) | ((F.col("texts") > 0) & (F.col("texts") < F.col("n"))),
-        "reference lengths differ within a pair": F.col("l0") != F.col("l1"),
-    }
+    text = F.coalesce("reference", F.lit(""))
+    texts = [F.min(text).alias("t0"), F.max(text).alias("t1"), F.count("reference").alias("texts")] if "reference" in x.columns else []
+    seen = x.groupBy(*groups, *keys).agg(F.count("*").alias("n"), F.countDistinct(member).alias("members"), F.min("n_reference").alias("l0"), F.max("n_reference").alias("l1"), *texts)
+    bad = {"a member has several rows for the same pair": F.col("n") > F.col("members")}
+    if texts:
+        bad["reference texts differ within a pair"] = (F.col("t0") != F.col("t1")) | ((F.col("texts") > 0) & (F.col("texts") < F.col("n")))
+    bad["reference lengths differ within a pair"] = F.col("l0") != F.col("l1")
     if unpaired == "raise":
         sizes = x.groupBy(*groups).agg(F.countDistinct(member).alias("all_members"))
         on = F.lit(True)

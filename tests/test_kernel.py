@@ -4,7 +4,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from collatio.functions import kernel
+from collatio.functions import align, kernel
 from collatio.policy import EvalPolicy
 
 
@@ -110,3 +110,18 @@ def test_policy_rejects_unknown_values():
     for bad in ({"unicode": "NFX"}, {"case": "title"}, {"whitespace": "x"}, {"punctuation": "x"}, {"char_unit": "word"}, {"colour": "red"}):
         with pytest.raises(ValueError):
             EvalPolicy.of(bad)
+
+
+def test_a_text_is_split_once(monkeypatch):
+    seen = []
+    split = kernel.tokenize
+    monkeypatch.setattr(kernel, "tokenize", lambda text, unit: seen.append(text) or split(text, unit))
+    where, pairs = align._pairs(["ab", "ab", None, "ab"], ["ab", "xb", "ab", None], EvalPolicy(), "grapheme")
+    assert where == [0, 1] and pairs == [(["a", "b"], ["a", "b"]), (["a", "b"], ["x", "b"])] and sorted(seen) == ["ab", "xb"]
+
+
+def test_equal_pairs_of_a_batch(spark):
+    data = [(i, [None, "abc", ""][i % 3], ["abd", None, "abd", "x"][i % 4]) for i in range(24)]
+    got = spark.createDataFrame(data, "i int, a string, b string").coalesce(1).select("i", "a", "b", align.edit_counts("a", "b", EvalPolicy()).alias("c")).collect()
+    want = {("abc", "abd"): (3, 3, 2, 1, 0, 0, 1), ("abc", "x"): (3, 1, 0, 1, 2, 0, 3), ("", "abd"): (0, 3, 0, 0, 0, 3, 3), ("", "x"): (0, 1, 0, 0, 0, 1, 1)}
+    assert len(got) == 24 and all((r.c and tuple(r.c)) == want.get((r.a, r.b)) for r in got)
